@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_topk, html_extract, line_dedup, quality_fm, secret_scan, substring_dedup
+from . import common, decontaminate, exact_topk, html_extract, line_dedup, order_minhash, quality_fm, secret_scan, substring_dedup
 
 
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(common.table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_classes(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(common.table(spark, sf_dir, "pages"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.found_items(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_found", "n_windows", "share")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(common.table(spark, sf_dir, "documents"))
 
