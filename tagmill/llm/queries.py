@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, exact_topk, html_extract, line_dedup, order_minhash, quality_fm, secret_scan, substring_dedup
+from . import common, decontaminate, exact_topk, html_extract, line_dedup, mixing, order_minhash, quality_fm, secret_scan, substring_dedup, surrogates
 
 
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(common.table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot", "place")
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
