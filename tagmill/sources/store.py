@@ -79,8 +79,8 @@ class EventStore:
     def append(self, lines: DataFrame, batch: str) -> DataFrame:
         """Write the events of lines (line, arrival, source, pos) as one batch; returns the refused lines.
 
-        Ids go on from the namespace's largest in other batches, in order of arrival, source and position, so a batch
-        that is written again gets the ids that it had.
+        Ids go on from the namespace's largest, in order of arrival, source and position; a batch that is written
+        again, with the same lines, gets the ids that it had.
         """
         parsed = cut_lineage(parse_lines(lines))
         fresh = parsed.where("error is null")
@@ -89,7 +89,8 @@ class EventStore:
         globally = self.indexes(GLOBAL)
         self._register([(ns, key) for ns in touched if ns not in known for key in globally])
         if touched:
-            base = self.events().where(F.col("ns").isin(touched) & (F.col("batch") != batch)).groupBy("ns").agg(F.max("id").alias("base"))
+            own = F.col("batch") == batch
+            base = self.events().where(F.col("ns").isin(touched)).groupBy("ns").agg(F.coalesce(F.min(F.when(own, F.col("id"))) - 1, F.max(F.when(~own, F.col("id")))).alias("base"))
             numbered = dense_numbers(fresh, "ns", ["arrival", "source", "pos"], "n").join(F.broadcast(base), "ns", "left")
             out = numbered.withColumn("id", F.col("n") + F.coalesce("base", F.lit(0))).withColumn("ts", F.col("arrival")).withColumn("batch", F.lit(batch))
             wanted: dict[str, list[str]] = {}
