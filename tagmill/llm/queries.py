@@ -60,5 +60,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k == "pipeline" or k.startswith("op") and k[2].isdigit()}
 
 
+_TOPK_SQL = """
+WITH e AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score
+    FROM e AS q JOIN e AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_PASSAGE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, len(w) - 34)) AS i FROM d WHERE len(w) >= 35),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 35], ' ') AS k FROM p),
+r AS (SELECT k FROM g GROUP BY k HAVING count(*) > 1),
+h AS (SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT g.doc_id, g.i, unnest(range(0, 35)) AS j FROM g JOIN r USING (k))),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+n AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.pos) AS kept, count(*) AS n_kept FROM x ANTI JOIN h ON x.doc_id = h.doc_id AND x.pos = h.pos GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say what a query does; tests hold the others against brute force."""
+    return {"op2_exact_topk": _TOPK_SQL, "op3_substring_dedup": _PASSAGE_SQL}
