@@ -30,12 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .wordtape import extend, sliding_argmin, tapes, windows
 
-SIZE = 35
+SIZE, LISTS = 35, 4096
+#: Turns a counted key into one that Spark deals anew, so that both sides of the join can be split when a key is hot.
+_TURN = 0x2545F4914F6CDD1D
 
 
 def _levels(size: int) -> tuple[int, int]:
@@ -55,7 +57,8 @@ def _marked(words: np.ndarray, left: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def _anchors(size: int):  # noqa: ANN202
-    """(h, right, left, rk, lp) of each anchor; an extension that no window of it contains is null."""
+    """(h, ext, rk, lp) of each anchor. ext: 32 bits of its right and of its left extension; lp: its place times 4 and
+    the sides (1 right, 2 left) that some window of it contains."""
     small, half = _levels(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,12 +76,39 @@ def _anchors(size: int):  # noqa: ANN202
                 at, far, near = a[head], a[head] - p[head], a[head] - p[tail]  # the anchor's greatest and least offset
                 right, left = near <= size - half, far >= half - small
                 row = t.row_of()[at]
-                r = w2[np.minimum(at, len(w2) - 1)].astype(np.int64)
-                lft = (w2[np.maximum(at - (half - small), 0)] ^ np.uint64(0x5DEECE66D)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1[at].astype(np.int64)), pa.array(r, mask=~right), pa.array(lft, mask=~left), pa.array(rk[row + t.rows.start]), pa.array((at - t.first[row]).astype(np.int32))],
-                    names=["h", "right", "left", "rk", "lp"],
-                )
+                r = w2[np.minimum(at, len(w2) - 1)] >> np.uint64(32) << np.uint64(32)
+                ext = r | w2[np.maximum(at - (half - small), 0)] >> np.uint64(32)
+                place = (at - t.first[row]) * 4 + right + 2 * left
+                yield pa.RecordBatch.from_arrays([pa.array(w1[at].astype(np.int64)), pa.array(ext.astype(np.int64)), pa.array(rk[row + t.rows.start]), pa.array(place)], names=["h", "ext", "rk", "lp"])
+
+    return run
+
+
+def _anchor_lists(size: int):  # noqa: ANN202
+    """(g, hs): the anchors' hashes in lists by their last bits; of a task, each hash once, or twice if it is repeated."""
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        u, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        h = np.repeat(u, np.minimum(n, 2))
+        g = (h & np.uint64(LISTS - 1)).astype(np.int32)
+        h = h[np.argsort(g, kind="stable")].astype(np.int64)
+        size_of = np.bincount(g, minlength=LISTS)
+        has = np.flatnonzero(size_of)
+        return pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size_of[has])).astype(np.int32)), pa.array(h))], names=["g", "hs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in batches:
+            for t, _ in tapes(b["text"]):
+                if len(t.words) >= size:
+                    p, a, w1, _w2, _w3 = _marked(t.words, t.left(), size)
+                    if len(p):
+                        held.append(w1[a[np.append(True, a[1:] != a[:-1])]])
+            if sum(map(len, held)) > 1_000_000:
+                yield flush(held)
+        if held:
+            yield flush(held)
 
     return run
 
@@ -138,28 +168,37 @@ def _removal(size: int):  # noqa: ANN202
     return run
 
 
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+def _turned(c: str) -> Column:
+    return F.col(c).bitwiseXOR(F.lit(_TURN)).alias("_k")
+
+
+def _in_repeated(rows: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
+    """The rows whose key occurs in two rows or more (of counted: key, n)."""
+    # counting rk asks for the columns that the join asks for too, so that what lies below is shuffled once for both
+    counted = rows.groupBy(key).agg(F.count("rk").alias("n")) if counted is None else counted
+    return rows.withColumn("_k", _turned(key)).drop(key).join(counted.where("n > 1").select(_turned(key)), "_k")
 
 
 def substring_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text for each row of docs (doc_id, text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", F.xxhash64(F.coalesce("doc_id", F.lit(-(2**62))), "text"))
-    anchors = keyed.select("rk", "text").mapInArrow(_anchors(size), "h long, right long, left long, rk long, lp int")
+    anchors = keyed.select("rk", "text").mapInArrow(_anchors(size), "h long, ext long, rk long, lp long").where("rk is not null")  # never null: said here so that all plans below agree
+    lists = keyed.select("text").mapInArrow(_anchor_lists(size), "g int, hs array<long>").repartition("g")
+    counted = lists.select("g", F.explode("hs").alias("h")).groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")).select("h", "n")
     # level 1 to 2: both extensions of the anchors that are repeated
-    first = anchors.join(_repeated(anchors.select("h"), "h"), "h")
-    sides = first.select("rk", "lp", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("right").alias("e")), F.struct(F.lit(2).alias("side"), F.col("left").alias("e")))).alias("s")).select("rk", "lp", "s.side", "s.e").where("e is not null")
+    first = _in_repeated(anchors, "h", counted)
+    side = lambda n, bits: F.when(F.col("lp").bitwiseAND(F.lit(n)) > 0, F.struct(F.floor(F.col("lp") / 4).cast("long") * 4 + n, F.xxhash64("_k", F.lit(n), bits)))
+    sides = first.select("rk", F.explode(F.array(side(1, F.shiftrightunsigned("ext", 32)), side(2, F.col("ext").bitwiseAND(F.lit(0xFFFFFFFF))))).alias("s")).where("s is not null").select("rk", F.col("s.col1").alias("lp"), F.col("s.col2").alias("e"))
     # level 2 to 3
-    second = sides.join(_repeated(sides.select("e"), "e"), "e")
-    kept = second.groupBy("rk").agg(F.collect_list(F.col("lp").cast("long") * 4 + F.col("side")).alias("kept"))
+    kept = _in_repeated(sides, "e").groupBy("rk").agg(F.collect_list("lp").alias("kept"))
     # rows of equal text; a row that is repeated with its doc_id has one key, and its text is repeated all the same
     same = keyed.select("rk", F.xxhash64("text").alias("th"), F.length("text").alias("len"))
-    groups = same.groupBy("th", "len").agg(F.count(F.lit(1)).alias("n"), F.min("rk").alias("lead")).where("n > 1")
-    copies = same.join(groups, ["th", "len"]).select("rk", (F.col("rk") != F.col("lead")).alias("follows")).distinct()
+    groups = same.groupBy("th", "len").agg(F.count(F.lit(1)).alias("n"), F.min("rk").alias("lead")).where("n > 1").select(_turned("th"), "len", "lead")
+    copies = same.select("rk", _turned("th"), "len").join(groups, ["_k", "len"]).select("rk", (F.col("rk") != F.col("lead")).alias("follows")).distinct()
     texts = keyed.select("rk", "doc_id", "text")
     once = kept.join(copies.where("follows").select("rk"), "rk", "left_anti")
     tall = texts.join(once, "rk").select("rk", "text", "kept", "doc_id").mapInArrow(_candidates(size), "w long, rk long, p int")
-    hits = tall.join(_repeated(tall.select("w"), "w"), "w").groupBy("rk").agg(F.collect_list("p").alias("hits"))
+    hits = _in_repeated(tall, "w").groupBy("rk").agg(F.collect_list("p").alias("hits"))
     fate = hits.join(copies.select("rk", F.lit(True).alias("copied")), "rk", "full").select("rk", "hits", F.coalesce("copied", F.lit(False)).alias("copied"))
     told = texts.join(fate, "rk", "left").select("doc_id", "text", "hits", F.coalesce("copied", F.lit(False)).alias("copied"))
     return told.mapInArrow(_removal(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -26,7 +26,7 @@ _MALE = r"Mr|Sir|Herrn?|Señor|Sr|Monsieur|Don|Г-н|Господин"
 _FEMALE = r"Mrs|Ms|Miss|Mme|Mlle|Madame|Frau|Señora|Sra|Srta|Doña|Г-жа|Госпожа"
 _NAME = rf"\b(?:{_MALE}|{_FEMALE}|Dr|Prof)\.?\x20\p{{Lu}}[\p{{L}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}'’-]+)?"
 _PATTERNS = [
-    ("email", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"),
     ("iban", r"\b[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
     ("phone", r"(?<!\w)\+\d{1,3}[\x20.-]?\(?\d{1,4}\)?(?:[\x20.-]?\d{2,4}){2,4}(?!\d)|(?<!\w)\(\d{3}\)\x20?\d{3}[.-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
@@ -35,6 +35,8 @@ _PATTERNS = [
     ("name", _NAME),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in _PATTERNS)
+#: Cheap, and found in every text that holds an entity: only such texts are searched by PATTERN.
+_HINT = r"[@\d]|[MSHDFPГ](?:rs?|s|iss|me|lle|adame|onsieur|ir|eñora?|ra|rta|errn?|rau|on|oña|rof|-н|-жа|оспо(?:дин|жа))\.?\x20\p{Lu}"
 _LATIN, _ACCENT = "abcdefghijklmnopqrstuvwxyz", "àáâäãåæçèéêëìíîïñòóôöõøùúûüýß"
 _CYRILLIC, _GREEK = "абвгдежзиклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 _FIRST = {"m": "James Peter Tomas Andrew Victor Martin Oscar Hugo Felix Simon Edgar Louis Bruno Karl Anton Paul", "f": "Anna Clara Marie Laura Helen Sofia Emma Julia Nora Irene Alice Rosa Diana Vera Ida Lena"}
@@ -128,7 +130,7 @@ def _formatted(e: Column, kind: Column, new: Column) -> Column:
 
 def entities(docs: DataFrame) -> DataFrame:
     """_id, _th, mention: the distinct mentions of each text."""
-    return docs.where(F.col("text").rlike(r"[@\d]|\b(?:M|S|D|H|F|Г|П)")).select(*common.row_key("doc_id", "text"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))).alias("mention"))
+    return docs.where(F.col("text").rlike(_HINT)).select(*common.row_key("doc_id", "text"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))).alias("mention"))
 
 
 def surrogate_table(mentions: DataFrame, key: str = KEY, max_rounds: int = 50) -> DataFrame:
@@ -157,11 +159,10 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     table = common.cut(surrogate_table(found, key))
     maps = found.join(table, "mention").groupBy("_id", "_th").agg(F.map_from_entries(F.collect_set(F.struct("mention", "surrogate"))).alias("_map"))
     keyed = docs.select("*", *common.row_key("doc_id", "text"))
-    mentions = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
-    holds = F.coalesce(F.size(F.when(F.col("text").rlike(r"[@\d]|\b(?:M|S|D|H|F|Г|П)"), mentions)) > 0, F.lit(False))
-    told = keyed.where(holds).join(maps, ["_id", "_th"]).withColumn("_m", mentions)
-    gaps = F.split("text", PATTERN, -1)
-    woven = F.zip_with(gaps, F.col("_m"), lambda g, m: F.concat(g, F.coalesce(F.element_at("_map", m), F.lit(""))))
-    new = told.select(*[F.array_join(woven, "").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.size("_m").cast("long").alias("n_entities"))
-    rest = keyed.where(~holds).select(*docs.columns, F.lit(0).cast("long").alias("n_entities"))
+    hinted = F.coalesce(F.col("text").rlike(_HINT), F.lit(False))
+    told = keyed.where(hinted).join(maps, ["_id", "_th"], "left").withColumn("_m", F.when(F.col("_map").isNotNull(), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
+    woven = F.zip_with(F.split("text", PATTERN, -1), F.col("_m"), lambda g, m: F.concat(g, F.coalesce(F.element_at("_map", m), F.lit(""))))
+    new_text = F.when(F.col("_m").isNull(), F.col("text")).otherwise(F.array_join(woven, ""))
+    new = told.select(*[new_text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("_m"), F.lit(0)).cast("long").alias("n_entities"))
+    rest = keyed.where(~hinted).select(*docs.columns, F.lit(0).cast("long").alias("n_entities"))
     return new.unionByName(rest)
