@@ -196,8 +196,7 @@ def test_components(spark):
 # ---- lines
 
 
-@pytest.mark.parametrize("native", [False, True])
-def test_lines(spark, native):
+def test_lines(spark):
     rng = random.Random(5)
     line = words_text(rng, 30)
     fuzzy = line.split()
@@ -215,7 +214,7 @@ def test_lines(spark, native):
         (9, words_text(rng, 70_000, 50)),
     ]
     df = spark.createDataFrame(rows, DOC).withColumn("n_chars", F.lit(1))
-    got = line_dedup.line_dedup(df, native=native).collect()
+    got = line_dedup.line_dedup(df).collect()
     assert len(got) == len(rows)
     text = {r["doc_id"]: r["text"] for r in got}
     assert text[1] == rows[0][1] and text[9] == rows[-1][1]
@@ -235,9 +234,6 @@ def test_simhash_is_the_majority(spark, n):
     bits = ((hashes.astype(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(0)
     want = sum(1 << k for k in range(64) if 2 * int(bits[k]) > n)
     assert got % 2**64 == want
-    two = np.concatenate([hashes[::-1], hashes, hashes]).astype(np.uint64)
-    for step in (7, 400_000) if n < 1000 else (10_000,):
-        assert line_dedup.majorities(two, np.array([0, n, 3 * n]), step).tolist() == [want, want]
 
 
 def test_lines_of_an_empty_table(spark):
