@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +28,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tagmill-checkpoint-"))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends: what it wrote is read from then on, never they."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan made inside, for a plan keeps the setting it was made under
 
 
 def row_key(doc_id: str | Column, text: str | Column) -> list[Column]:
@@ -71,5 +88,6 @@ def stored(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{folder}/tagmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _tidy(spark):
+        df.select("*").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
