@@ -236,6 +236,31 @@ def test_simhash_is_the_majority(spark, n):
     assert got % 2**64 == want
 
 
+@pytest.mark.parametrize("vocabulary", [100_000, 60])
+def test_line_classes_are_those_of_brute_force(spark, vocabulary):
+    """Pairs of 80 to 100 % similarity, words frequent and rare, repeated words; no pair may be lost."""
+    rng = random.Random(vocabulary)
+    rows = []
+    for n in [5, 6, 9, 10, 15, 30, 60, 180, 199, 201, 240]:
+        for share in (0.02, 0.05, 0.1, 0.15, 0.2, 0.2, 0.2):
+            base = words_text(rng, n, vocabulary).split()
+            other = list(base)
+            for k in rng.sample(range(n), int(n * share + 1e-9)):
+                other[k] = f"x{rng.randrange(10**6)}"
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    at = line_dedup.lines(spark.createDataFrame(rows, DOC))
+    root = {r["node"]: r["root"] for r in line_dedup.classes(at).collect()}
+    key = {r["_id"]: r["_key"] for r in at.collect()}
+    got = defaultdict(list)
+    for i, _ in rows:
+        got[root.get(key[i], key[i])].append(i)
+    want = brute_classes(rows)
+    # two words share a code once in 94, so lines may be joined that brute force keeps apart, but none be lost
+    where = {i: g for g, ids in enumerate(got.values()) for i in ids}
+    assert [g for g in want if len({where[i] for i in g}) > 1] == []
+    assert len(got) >= len(want) - 5
+
+
 def test_lines_of_an_empty_table(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], DOC)).count() == 0
 
