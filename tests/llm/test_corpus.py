@@ -261,6 +261,22 @@ def test_line_classes_are_those_of_brute_force(spark, vocabulary):
     assert len(got) >= len(want) - 5
 
 
+def test_a_crowded_bucket_is_compared_whole(spark):
+    """All lines share ten words; pairs that resemble each other, and no hub, are found."""
+    rng = random.Random(8)
+    stem = [f"s{k}" for k in range(10)]
+    rows = []
+    for _ in range(150):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(6)]
+        other = [*own[:3], *[f"o{rng.randrange(10**6)}" for _ in range(3)]]
+        rows += [(len(rows), " ".join(stem + own)), (len(rows) + 1, " ".join(stem + other))]
+    at = line_dedup.lines(spark.createDataFrame(rows, DOC))
+    root = {r["node"]: r["root"] for r in line_dedup.classes(at).collect()}
+    key = {r["_id"]: r["_key"] for r in at.collect()}
+    assert all(key[i] in root and root[key[i]] == root.get(key[i + 1]) for i in range(0, 300, 2))
+    assert len(set(root.values())) == 150
+
+
 def test_lines_of_an_empty_table(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], DOC)).count() == 0
 
