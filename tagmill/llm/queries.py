@@ -49,7 +49,7 @@ def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return line_dedup.line_dedup(common.table(spark, sf_dir, "documents"), short=True).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

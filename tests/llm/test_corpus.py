@@ -277,6 +277,14 @@ def test_a_crowded_bucket_is_compared_whole(spark):
     assert len(set(root.values())) == 150
 
 
+def test_short_lines_repeat_exactly(spark):
+    rows = [(1, "All rights reserved.\n你好世界。\n---\n\n yes no"), (2, "all rights reserved\n你好世界。\n---\n\nyes no!"), (3, "all rights\n\n****\n")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOC), short=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("", 4), 3: (rows[2][1], 0)}
+    kept = line_dedup.line_dedup(spark.createDataFrame(rows, DOC)).collect()
+    assert all(r["n_dropped"] == 0 for r in kept)
+
+
 def test_lines_of_an_empty_table(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], DOC)).count() == 0
 
