@@ -7,7 +7,9 @@ rather than mere overlap. Candidates are verified by a banded alignment of their
 
 Equal texts are one node (their text hash). A bucket ties its nodes to its smallest and its largest one, never all
 pairs. Verification goes in two rounds: every node against the hub it shares most buckets with, then every candidate
-pair whose ends are not yet in one class. Classes are the connected components of verified pairs and equal texts.
+pair whose ends are not yet in one class. What the sketches or the hubs miss is found by a third round: all pairs of
+texts of different classes that may reach the similarity, by their rarest words (`prefixes`), without loss. Classes are
+the connected components of verified pairs and equal texts.
 
 Nothing is gathered by bucket or class; hubs meet their spokes in joins that Spark can split. Whole texts are read in
 arrays, long ones too. The alignment runs on one character a word (of 1,856), so two words are mistaken for each other
@@ -23,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, prefixes
+from .line_dedup import word_hashes
 from .wordtape import Tape, mix, tapes, windows
 
 SHINGLE, SIMILARITY, SKETCHES, ELL = 5, 0.8, 32, 2
@@ -126,6 +129,18 @@ def _verified(pairs: DataFrame, codes: DataFrame, similarity: float) -> DataFram
     return both.where(fits).select(F.col("hub").alias("a"), F.col("member").alias("b"))
 
 
+def _listed(keyed: DataFrame, similarity: float) -> DataFrame:
+    """node, n, keys, p0, p1 of each distinct text that has words, for prefixes.pairs; written and read again."""
+    table = prefixes.frequencies(keyed.select(F.col("_id").alias("doc_id"), "text"), word_hashes(F.col("text")))
+
+    def of(h: Column) -> Column:
+        p0, p1 = prefixes.parity(h)
+        return F.when(F.size(h) > 0, F.struct(F.size(h).alias("n"), prefixes.keys(h, table, similarity).alias("keys"), p0.alias("p0"), p1.alias("p1")))
+
+    told = keyed.select(F.col("_th").alias("node"), F.explode(F.transform(F.array(word_hashes(F.col("text"))), of)).alias("_x")).where("_x is not null")
+    return common.stored(told.groupBy("node").agg(F.min("_x").alias("_x")).select("node", "_x.*"))
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, number: int = SKETCHES) -> DataFrame:
     """doc_id, class_id, _id, _th for each row of docs (doc_id, text); class_id is the smallest doc_id of the class."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *common.row_key("doc_id", "text"))
@@ -134,9 +149,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, number: int =
     ties = rows.join(shared, "bucket").select(F.col("node").alias("member"), F.explode(F.array("low", "high")).alias("hub")).where("member <> hub")
     pairs = common.cut(ties.groupBy("member", "hub").agg(F.count(F.lit(1)).alias("n")))
     leads = keyed.groupBy("_th").agg(F.min("_id").alias("_id"))
-    needed = pairs.select("member").union(pairs.select("hub")).distinct().withColumnRenamed("member", "_th").join(leads, "_th").select("_id", "_th")
-    texts = keyed.select("_id", "_th", "text").join(needed, ["_id", "_th"]).select("_th", "text")
-    codes = common.cut(texts.mapInArrow(_codes, "node long, code string").groupBy("node").agg(F.min("code").alias("code")))
+
+    def codes_of(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select("member").union(pairs.select("hub")).distinct().withColumnRenamed("member", "_th").join(leads, "_th").select("_id", "_th")
+        texts = keyed.select("_id", "_th", "text").join(needed, ["_id", "_th"]).select("_th", "text")
+        return common.cut(texts.mapInArrow(_codes, "node long, code string").groupBy("node").agg(F.min("code").alias("code")))
+
+    codes = codes_of(pairs)
     best = pairs.groupBy("member").agg(F.max(F.struct("n", "hub")).alias("s")).select("member", "s.hub")
     edges = common.cut(_verified(best, codes, similarity))
     roots = common.components(edges)
@@ -147,7 +166,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, number: int =
     tested = best.select(F.least("member", "hub").alias("member"), F.greatest("member", "hub").alias("hub")).distinct()
     more = common.cut(_verified(open_.join(tested, ["member", "hub"], "left_anti"), codes, similarity))
     if not more.isEmpty():
-        roots = common.components(edges.union(more))
+        edges = edges.union(more)
+        roots = common.components(edges)
+    # what the sketches missed, without loss: pairs of different classes that may reach the similarity, by rarest words
+    missed = common.cut(prefixes.pairs(_listed(keyed, similarity).join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), similarity))
+    if not missed.isEmpty():
+        missed = missed.select(F.col("a").alias("member"), F.col("b").alias("hub"))
+        rest = common.cut(_verified(missed, codes_of(missed), similarity))
+        roots = common.components(edges.union(rest))
     ids = keyed.select("doc_id", "_id", "_th")
     rooted = ids.join(roots.select(F.col("node").alias("_th"), "root"), "_th", "left").withColumn("root", F.coalesce("root", "_th"))
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("_id", "_th")).alias("_keep"), F.count(F.lit(1)).alias("class_size"))

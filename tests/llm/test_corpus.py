@@ -170,6 +170,25 @@ def test_near_classes(spark):
     assert Counter(r["class_id"] for r in got if r["kept"]) == Counter(classes.keys())
 
 
+@pytest.mark.parametrize("n", [7, 10, 40, 120])
+def test_near_classes_lose_no_pair(spark, n):
+    """Star families: a base and variants of similarity 0.8 to it, below 0.8 among themselves."""
+    rng = random.Random(n)
+    rows = []
+    for _ in range(4):
+        base = words_text(rng, n, 100_000).split()
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(8):
+            w = list(base)
+            for k in rng.sample(range(n), n // 5):
+                w[k] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    classes = defaultdict(list)
+    for r in order_minhash.near_classes(spark.createDataFrame(rows, DOC)).collect():
+        classes[r["class_id"]].append(r["doc_id"])
+    assert sorted(sorted(g) for g in classes.values()) == [list(range(9 * k, 9 * k + 9)) for k in range(4)]
+
+
 def test_order_counts(spark):
     """The same shingles in another order are not a near-duplicate."""
     rng = random.Random(2)
