@@ -6,8 +6,8 @@ words are hashed and joined with the benchmark's windows. A window that holds na
 placeholders and as plain words, so that a change of letter case hides nothing.
 
 Slots are then compared: within one alignment (document place minus item place) each thing in the item must always
-stand for the same thing in the document. Windows of an inconsistent alignment don't count. An item is found in a
-document if 0.8 or more of its windows are.
+stand for the same thing in the document: the one it stands for most often. Windows that hold a slot against this
+don't count; the others of the alignment do. An item is found in a document if 0.8 or more of its windows are.
 
 The benchmark's windows are broadcast in portions of at most `portion` rows, one pass for each portion, so what is
 broadcast is bounded whatever the benchmark's size. Windows of documents are never shuffled, only those found; texts
@@ -86,10 +86,19 @@ def found_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARIT
     cut_out = F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), x["ih"].alias("ih"), x["p"].alias("p"), x["q"].alias("q"), F.slice("words", x["p"] + 1, size).alias("dw")))
     pairs = near.select("doc_id", "_id", "_th", F.explode(cut_out).alias("x")).select("doc_id", "_id", "_th", "x.*")
     with_items = pairs.join(bench, ["item_id", "ih"])
-    slots = F.filter(F.zip_with(F.slice("iw", F.col("q") + 1, size), F.col("dw"), lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda s: s["i"].rlike("^q(num|unit|name)q") & s["d"].rlike("^q(num|unit|name)q"))
+    is_slot = lambda x: x.rlike("^q(num|unit|name)q")
+    slots = F.filter(F.zip_with(F.slice("iw", F.col("q") + 1, size), F.col("dw"), lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda s: is_slot(s["i"]) & is_slot(s["d"]))
     lines = with_items.select("doc_id", "_id", "_th", "item_id", "ih", "q", (F.col("p") - F.col("q")).alias("diagonal"), slots.alias("slots"), F.greatest(F.size("iw") - F.lit(size - 1), F.lit(1)).alias("n_windows"))
-    tested = lines.groupBy("doc_id", "_id", "_th", "item_id", "ih", "n_windows", "diagonal").agg(F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"), F.collect_set("q").alias("qs"))
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
-    scored = tested.where(consistent).groupBy("doc_id", "_id", "_th", "item_id", "ih", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("n_found"))
+    # the windows of one alignment, and its votes: how often each thing of the item stands for each of the document
+    tested = lines.groupBy("doc_id", "_id", "_th", "item_id", "ih", "n_windows", "diagonal").agg(F.collect_list(F.struct("q", "slots")).alias("ws"), F.flatten(F.collect_list("slots")).alias("votes"))
+    cast = tested.withColumn("kinds", F.array_distinct("votes"))
+    # a count for each distinct pair, then for each thing of the item its most frequent partner (of equals the one that is unchanged, then the smallest)
+    counted = F.transform("kinds", lambda x: F.struct(x["i"].alias("i"), F.size(F.filter("votes", lambda v: v == x)).alias("n"), (x["i"] == x["d"]).alias("same"), x["d"].alias("d")))
+    cast = cast.withColumn("counted", counted)
+    beaten = F.transform(F.filter("counted", lambda x: F.exists("counted", lambda y: (y["i"] == x["i"]) & ((y["n"] > x["n"]) | ((y["n"] == x["n"]) & (y["same"] & ~x["same"] | (y["same"] == x["same"]) & (y["d"] < x["d"])))))), lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d")))
+    cast = cast.withColumn("beaten", beaten)
+    # only windows that hold a slot against the majority go: one altered slot costs at most `size` windows
+    good = F.transform(F.filter("ws", lambda w: ~F.arrays_overlap(w["slots"], F.col("beaten"))), lambda w: w["q"])
+    scored = cast.select("doc_id", "_id", "_th", "item_id", "ih", "n_windows", F.explode(good).alias("q")).groupBy("doc_id", "_id", "_th", "item_id", "ih", "n_windows").agg(F.countDistinct("q").cast("int").alias("n_found"))
     shared = scored.withColumn("share", F.col("n_found") / F.col("n_windows")).where(F.col("share") >= similarity)
     return shared.select("doc_id", "item_id", F.col("n_found").cast("long").alias("n_found"), F.col("n_windows").cast("long").alias("n_windows"), "share", "_id", "_th")

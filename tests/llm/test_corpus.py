@@ -348,6 +348,16 @@ def test_slots_must_be_consistent(spark):
     assert {r["doc_id"] for r in got} == {1}
 
 
+def test_one_altered_slot_costs_its_windows_only(spark):
+    item = "when x is 5 we read the long book and then y is 5 so that all of the other pages which come after it are read by the same 5 people on one quiet evening in the old house beside the river"
+    docs = [(1, item.replace("y is 5", "y is 7")), (2, "you have 3 apples and 4 pears in the basket")]
+    items = [(1, item), (2, "you have 2 apples and 2 pears in the basket")]
+    got = decontaminate.found_items(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1)}
+    row = got[0]
+    assert row["n_found"] == row["n_windows"] - 5
+
+
 def test_leaks_of_the_test_table(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: re.sub(r"\W+", " ", (t or "").lower()).split()
