@@ -4,14 +4,14 @@ The rows of each source are dealt into blocks of `block_rows`. With weight w, th
 at slot floor(i / w) and due at ceil((i + 1) / w); each slot takes the released block that is due first. So at any
 slot a source has had its weight's share of the slots to within less than one block.
 
-Weights are integers out of a total, so the schedule repeats: one period is computed on the driver (its length is the
-total of the weights, whatever the data) and every block finds its slot by division. When a source runs out, its
-weight goes to the others in proportion and a new phase begins; every row appears exactly once, none is dropped or
-repeated, and within each phase the deviation stays below one block.
+Weights are taken exactly as given, as ratios of integers, so the deviation does not grow with the data. The slots are
+computed on the driver, one step and eight bytes a block. When a source runs out, its weight goes to the others in
+proportion and a new phase begins; every row appears exactly once, none is dropped or repeated, and within each phase
+the deviation stays below one block.
 
 Rows are numbered within their source without gathering a source: they fall into hash buckets of about a thousand rows,
-are numbered in each bucket, and the buckets' counts (at most 65,536 a source) are summed up. What is broadcast is one
-row a source with its periods; above `broadcast_entries` numbers it is an ordinary join.
+are numbered in each bucket, and the buckets' counts (at most 65,536 a source) are summed up. Blocks meet
+their slots in a broadcast join, above `broadcast_entries` blocks in an ordinary one.
 
 `weights` maps sources to positive numbers; without it a source weighs the square root of its row count. A source that
 `weights` does not name, or names with nothing, comes after the named ones are used up. A null source is a source of its
@@ -23,11 +23,18 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from fractions import Fraction
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, PERIOD, MAX_SOURCES, BROADCAST_ENTRIES = 16, 1000, 2000, 1_000_000
+from . import common
+
+BLOCK_ROWS, PERIOD, MAX_SOURCES, BROADCAST_ENTRIES, PIECE = 16, 1000, 2000, 1_000_000, 1_000_000
 
 
 def quotas(weights: dict[int, float], period: int = PERIOD) -> dict[int, int]:
@@ -40,48 +47,83 @@ def quotas(weights: dict[int, float], period: int = PERIOD) -> dict[int, int]:
     return out
 
 
-def pfair_period(quota: dict[int, int]) -> dict[int, list[int]]:
-    """The slots of each source's blocks in one period of sum(quota) slots: earliest deadline first among the released."""
+def whole(weights: dict[int, float], period: int = PERIOD) -> dict[int, int]:
+    """Integers in exactly the proportion of the weights: small ones that sum to the period where there are such."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    small, total = quotas(weights, period), sum(exact.values())
+    if all(small[s] * total == exact[s] * sum(small.values()) for s in exact):
+        return small
+    scale = math.lcm(*[x.denominator for x in exact.values()])
+    return {s: int(x * scale) for s, x in exact.items()}
+
+
+def pfair(quota: dict[int, int], left: dict[int, int]) -> dict[int, array]:
+    """The slots of each source's blocks until a source has had its `left` blocks: earliest deadline first among the released."""
     length = sum(quota.values())
     waiting = [(0, s, 0) for s in quota]  # by release
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []  # by deadline
-    slots: dict[int, list[int]] = {s: [] for s in quota}
-    for t in range(length):
+    slots = {s: array("q") for s in quota}
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * length // quota[s]), s, i))
-        if not ready:
-            continue
+        # the weights sum to one, so some block is always released
         _, s, i = heapq.heappop(ready)
         slots[s].append(t)
-        if i + 1 < quota[s]:
-            heapq.heappush(waiting, ((i + 1) * length // quota[s], s, i + 1))
+        t += 1
+        if i + 1 == left[s]:
+            return slots
+        heapq.heappush(waiting, ((i + 1) * length // quota[s], s, i + 1))
+
+
+def pfair_period(quota: dict[int, int]) -> dict[int, list[int]]:
+    """The slots of each source's blocks in one period of sum(quota) slots."""
+    slots: dict[int, list[int]] = {s: [] for s in quota}
+    run = pfair(quota, {s: 2 * n + 2 for s, n in quota.items()})
+    for s, ts in run.items():
+        slots[s] = [t for t in ts if t < sum(quota.values())]
     return slots
 
 
-def phases(blocks: dict[int, int], weights: dict[int, float], period: int = PERIOD) -> dict[int, list[tuple[int, int, int, list[int]]]]:
-    """For each source its phases: first block, first slot, slots a period, places in the period."""
+def phases(blocks: dict[int, int], weights: dict[int, float], period: int = PERIOD) -> dict[int, array]:
+    """The slot of each block of each source, over all phases."""
     left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(blocks, 0)
-    out: dict[int, list[tuple[int, int, int, list[int]]]] = {s: [] for s in blocks}
+    out = {s: array("q") for s in blocks}
     base = 0
     while left:
         active = {s: weights[s] for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1.0)
-        quota = quotas(active, period)
-        places = pfair_period(quota)
-        length = sum(quota.values())
-        end = min((left[s] - 1) // quota[s] * length + places[s][(left[s] - 1) % quota[s]] + 1 for s in active)
-        for s in active:
-            out[s].append((done[s], base, length, places[s]))
-            used = end // length * quota[s] + sum(p < end % length for p in places[s])
-            done[s] += used
-            left[s] -= used
+        run = pfair(whole(active, period), left)
+        for s, ts in run.items():
+            out[s].extend(base + t for t in ts)
+            left[s] -= len(ts)
         left = {s: n for s, n in left.items() if n > 0}
-        base += end
+        base += sum(map(len, run.values()))
     return out
 
 
+def _table(spark: SparkSession, plan: dict[int, array]) -> DataFrame:
+    """(_k, block, slot) of a plan; long plans go to the shared folder in pieces."""
+    pieces = [(s, at) for s, ts in plan.items() for at in range(0, len(ts), PIECE)]
+    schema = "_k int, block long, slot long"
+    frames, batch = [], []
+
+    def flush() -> None:
+        if batch:
+            df = spark.createDataFrame(pa.concat_tables(batch), schema)
+            frames.append(df if len(pieces) == len(batch) and sum(map(len, batch)) <= PIECE else common.stored(df))
+            batch.clear()
+
+    for s, at in pieces:
+        part = plan[s][at : at + PIECE]
+        batch.append(pa.table({"_k": pa.array(np.full(len(part), s, np.int32)), "block": np.arange(at, at + len(part)), "slot": np.frombuffer(part, np.int64)}))
+        if sum(map(len, batch)) >= PIECE:
+            flush()
+    flush()
+    return reduce(DataFrame.union, frames) if frames else spark.createDataFrame([], schema)
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, max_sources: int = MAX_SOURCES, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """docs with block, slot and place added: the order of the mix is (slot, place)."""
     spark = docs.sparkSession
@@ -92,9 +134,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     blocks = {k: -(-r["count"] // block_rows) for k, r in enumerate(sizes)}
     wanted = {k: math.sqrt(r["count"]) if weights is None else max(0.0, float(weights.get(r["source"], 0.0))) for k, r in enumerate(sizes)}
     plan = phases(blocks, wanted, period)
-    entries = sum(len(p[3]) for x in plan.values() for p in x)
-    schema = "_source string, _phases array<struct<first:long,base:long,length:long,places:array<int>>>"
-    schedule = spark.createDataFrame([(r["source"], plan[k]) for k, r in enumerate(sizes)], schema)
+    entries = sum(map(len, plan.values()))
+    schedule = _table(spark, plan)
+    names = spark.createDataFrame([(r["source"], k) for k, r in enumerate(sizes)], "_source string, _k int")
     buckets = max(1, min(65536, sum(r["count"] for r in sizes) // 1000))
     keyed = docs.withColumn("_h", F.xxhash64("doc_id", "text")).withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(buckets)))
     counts = keyed.groupBy("source", "_b").count()
@@ -103,9 +145,5 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     at = numbered.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c"))).withColumn("_n", (F.col("_n") + F.col("_before")).cast("long"))
     told = at.withColumn("block", F.expr(f"_n div {block_rows}")).withColumn("place", (F.col("_n") % block_rows).cast("int"))
     side = F.broadcast(schedule) if entries <= broadcast_entries else schedule
-    told = told.join(side, F.col("source").eqNullSafe(F.col("_source")))
-    phase = F.element_at(F.filter("_phases", lambda p: p["first"] <= F.col("block")), -1)
-    told = told.withColumn("_p", phase).withColumn("_k", F.col("block") - F.col("_p.first"))
-    share = F.size("_p.places")
-    slot = F.col("_p.base") + F.floor(F.col("_k") / share).cast("long") * F.col("_p.length") + F.element_at("_p.places", (F.col("_k") % share + 1).cast("int"))
-    return told.select(*docs.columns, "block", slot.alias("slot"), "place")
+    told = told.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source"))).join(side, ["_k", "block"])
+    return told.select(*docs.columns, "block", "slot", "place")

@@ -177,6 +177,19 @@ def test_mix_keeps_every_row_and_its_weights(spark):
     assert set(order[-len({r["block"] for r in got if r["source"] is None}) :]) == {None}
 
 
+def test_deviation_from_the_weights_asked_for_does_not_grow():
+    """Two million rows in blocks of 16, square-root weights: less than a block at every slot of the first phase."""
+    blocks = {k: 20_000 - 1_237 * k for k in range(7)}
+    weights = {k: n**0.5 for k, n in blocks.items()}
+    slots = mixing.phases(blocks, weights)
+    assert sorted(t for ts in slots.values() for t in ts) == list(range(sum(blocks.values())))
+    total, end = sum(weights.values()), min(ts[-1] for ts in slots.values()) + 1
+    assert end > 80_000
+    for s, ts in slots.items():
+        w = weights[s] / total
+        assert all(-1 - 1e-6 < i - t * w and i + 1 - (t + 1) * w < 1 + 1e-6 for i, t in enumerate(ts) if t < end)
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0
