@@ -4,8 +4,8 @@ Pages are cut into blocks by one pass over their tags. Elements whose tag or cla
 footers, sidebars, notices, adverts, forms, scripts, styles, comments) go; what stands inside <article>, or <main>
 where there is no article, stays. Where a page names no main part, its remaining blocks are open, and the suffixes of
 their token streams decide: all pages of a host are read as one sequence, suffixes are ordered by their first `span`
-tokens, and a run that begins suffixes of two distinct pages is boilerplate. Tokens under such runs are removed and
-the unique runs kept.
+tokens, and a run that begins suffixes of three distinct page contents is boilerplate: copies of a page count once, and
+a passage that two pages quote stays. Tokens under such runs are removed and the other runs kept.
 
 The suffix order is made by a distributed aggregation on (host, first `span` tokens), which yields exactly the
 neighbours whose common prefix has `span` tokens or more. A host with a third of all pages is summed before the
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SPAN = 8
+SPAN, CONTENTS = 8, 3
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "object", "canvas", "audio", "video"}
@@ -163,11 +163,11 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def _suffixes(df: DataFrame, span: int) -> DataFrame:
-    """(host, key, page, block, start): the suffixes of each open block by their first `span` tokens; shorter blocks whole."""
+    """(host, key, page, content, block, start): the suffixes of each open block by their first `span` tokens; shorter blocks whole."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/?#:]*)", 1))
-    toks = df.select("_p", host.alias("host"), F.posexplode("blocks").alias("block", "b")).select("_p", "host", "block", F.split("b", " ").alias("w"))
+    toks = df.select("_p", "_c", host.alias("host"), F.posexplode("blocks").alias("block", "b")).select("_p", "_c", "host", "block", F.split("b", " ").alias("w"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - F.lit(span), F.lit(0)))
-    return toks.select("_p", "host", "block", "w", F.explode(starts).alias("start")).select("host", F.xxhash64(F.slice("w", F.col("start") + 1, span)).alias("key"), "_p", "block", "start")
+    return toks.select("_p", "_c", "host", "block", "w", F.explode(starts).alias("start")).select("host", F.xxhash64(F.slice("w", F.col("start") + 1, span)).alias("key"), "_p", "_c", "block", "start")
 
 
 def extract(pages: DataFrame, span: int = SPAN) -> DataFrame:
@@ -176,11 +176,12 @@ def extract(pages: DataFrame, span: int = SPAN) -> DataFrame:
     shown = lambda d, b: d.select("page_id", "url", F.array_join(b, "\n").alias("text"))
     marked = shown(done.where("not open"), "blocks")
     # written once, for what follows reads it several times; where every page is marked it is empty and that is all
-    bare = common.cut(done.where("open").withColumn("_p", F.xxhash64("page_id", "url", F.concat_ws("\n", "blocks"))))
+    bare = common.cut(done.where("open").withColumn("_p", F.xxhash64("page_id", "url", F.concat_ws("\n", "blocks"))).withColumn("_c", F.xxhash64(F.concat_ws("\n", "blocks"))))
     if bare.isEmpty():
         return marked.withColumn("n_chars", F.length("text").cast("long"))
     suffixes = _suffixes(bare, span)
-    shared = suffixes.groupBy("host", "key").agg(F.min("_p").alias("p0"), F.max("_p").alias("p1")).where("p0 <> p1").select("host", "key")
+    # pages of equal blocks are one content, so copies of a page don't make its text boilerplate
+    shared = suffixes.select("host", "key", "_c").distinct().groupBy("host", "key").count().where(F.col("count") >= CONTENTS).select("host", "key")
     covered = suffixes.join(shared, ["host", "key"]).groupBy("_p").agg(F.collect_set(F.struct("block", "start")).alias("hits"))
     kept = bare.join(covered, "_p", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<block:int,start:int>>")))
 

@@ -106,6 +106,15 @@ def test_host_suffixes_remove_what_pages_share(spark):
     assert got[10] == ("", 0)
 
 
+def test_copies_and_quotes_of_unmarked_pages_stay(spark):
+    copy = "<body><div>one page that is there twice under two ids and is no boilerplate at all</div>"
+    quote = "a passage that two articles of this host quote word for word in full"
+    rows = [(k, f"http://h.example/{k}", copy) for k in (1, 2, 5)] + [(k, f"http://h.example/{k}", f"<body><div>{quote}</div><div>own text {k} of this page</div>") for k in (3, 4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == got[5] == copy[11:-6]
+    assert all(got[k] == f"{quote}\nown text {k} of this page" for k in (3, 4))
+
+
 def test_pages_of_the_test_table(spark):
     raw = spark.read.parquet(f"{SF}/pages.parquet")
     got = html_extract.extract(raw).collect()
