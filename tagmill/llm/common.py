@@ -49,6 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)  # a plan made inside, for a plan keeps the setting it was made under
 
 
+def others(docs: DataFrame, *outputs: str) -> list[str]:
+    """The columns of docs that an operator passes on: all but those named like one of its outputs."""
+    taken = {o.lower() for o in outputs}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
 def row_key(doc_id: str | Column, text: str | Column) -> list[Column]:
     """Identity of a row where doc_id may be null or repeated: the id and a hash of the text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, prefixes
-from .line_dedup import word_hashes
+from .prefixes import word_hashes
 from .wordtape import Tape, mix, tapes, windows
 
 SHINGLE, SIMILARITY, SKETCHES, ELL = 5, 0.8, 32, 2

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Runs of ASCII characters that are neither letters nor digits.
+BETWEEN = r"[\x00-/:-@\x5b-`{-\x7f]+"
 SAMPLE, CELLS, CROWD, LONG = 8192, 1 << 17, 64, 200
 
 
@@ -27,6 +29,10 @@ def _rank(count: int) -> int:
     return min(255, round(8 * math.log2(1 + count)))
 
 
+def word_hashes(text: Column) -> Column:
+    return F.transform(F.array_remove(F.split(F.lower(text), BETWEEN), ""), lambda w: F.xxhash64(w))
+
+
 def frequencies(docs: DataFrame, hashes: Column) -> Column:
     """A byte for each of CELLS cells of words: how frequent they are in docs, from some SAMPLE of its rows."""
     every = max(1, docs.count() // SAMPLE)
