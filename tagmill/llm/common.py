@@ -89,11 +89,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared checkpoint folder and read again; for rows too wide for cut()."""
+    """df written as Parquet in the shared checkpoint folder and read again; for rows too wide for cut(). discard() removes it."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{folder}/tagmill-{uuid.uuid4().hex}"
     with _tidy(spark):
         df.select("*").write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what stored() wrote; nothing that is still to be computed may read it."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(conf).delete(path, True)
