@@ -57,6 +57,29 @@ def test_topk_small_and_empty(spark):
     assert [tuple(r) for r in exact_topk.topk(three).orderBy("rank").select("vec_id", "score").collect()] == [(1, 131072), (2, -196608)]
 
 
+def test_topk_of_large_components(spark):
+    schema = "vec_id long, embedding array<double>"
+    run = lambda rows: [tuple(r) for r in exact_topk.topk(spark.createDataFrame(rows, schema)).orderBy("query_id", "rank").collect()]
+    assert run([(0, [1.0]), (1, [9e6]), (2, [9.5e6])]) == [(0, 1, 2, 622592000000), (0, 2, 1, 589824000000)]
+    # scores far below zero, the query's own row among the candidates' block
+    low = [(0, [-1e6]), *[(i, [1e6 + i]) for i in range(1, 40)]]
+    assert run(low) == [(0, i, i, -256000000 * 256 * (10**6 + i)) for i in range(1, 6)]
+    # beyond 2**53, where doubles are no longer exact, and at the least of 64 bits
+    big = [(0, [2.0**22, 2.0**-8]), (1, [2.0**24, 0.0]), (2, [2.0**24, 2.0**-8]), (3, [-(2.0**25), 0.0])]
+    assert run(big) == [(0, 1, 2, 2**62 + 1), (0, 2, 1, 2**62), (0, 3, 3, -(2**63))]
+    with pytest.raises(Exception, match="64 bits"):
+        run([(0, [2.0**40]), (1, [2.0**40])])
+
+
+def test_topk_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(50, [1.0, 2.0]), (50, None), (50, [None, 1.0]), (50, [3.0, 0.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (None, [9.0, 9.0]), (8, [5.0]), (9, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for c in ("qblock", "slot", "qgroup", "rank", "score", "query_id", "ids"):
+        df = df.withColumn(c, F.lit("x"))
+    got = [tuple(r) for r in exact_topk.topk(df).orderBy("rank").collect()]
+    assert got == [(50, 1, 8, 5 * 65536), (50, 2, 7, 3 * 65536), (50, 3, 7, 3 * 65536), (50, 4, 9, 0)]
+
+
 # ---- passages
 
 
