@@ -13,6 +13,7 @@ from tagmill.functions.predicates import predicate
 from tagmill.lang.validate import read
 from tagmill.operators import extensions
 from tagmill.operators.commands import matches, query_frame, query_page
+from tagmill.plans.paging import pages_frame
 from tagmill.sources.store import EventStore
 from tagmill.sources.views import events_view, orders_view
 
@@ -21,8 +22,8 @@ _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 _VIEW = "WITH ev AS (SELECT event_id + 1 AS id, epoch_us(ts) // 1000 AS ts, user_id AS entity_i64, event_type, {k} AS k FROM events)"
 _FULL, _SPARSE = _VIEW.format(k=_K), _VIEW.format(k=f"CASE WHEN {_K} < 50 THEN {_K} END")
 _COLUMNS = ["id", "ts", "entity_i64", "event_type", "k"]
-#: The middle of the events' time at every scale; a window of a day around it.
-_TS0, _TS1 = 1706745600000, 1706832000000
+#: The evening of the middle day of the events' month, and a day later: both within the data at every scale.
+_TS0, _TS1 = 1705352400000, 1705438800000
 
 # name: (expression, SQL predicate, sparse, take, cursor)
 _FILTERS: dict[str, tuple[str, str, bool, int | None, int | None]] = {
@@ -52,6 +53,7 @@ _FILTERS: dict[str, tuple[str, str, bool, int | None, int | None]] = {
     "ts_or_split": (f"ts < {_TS0} OR ts > {_TS1}", f"ts < {_TS0} OR ts > {_TS1}", False, None, None),
     "tag_and_ts": (f"event_type:view AND ts >= {_TS0}", f"event_type = 'view' AND ts >= {_TS0}", False, None, None),
     "take": ("event_type:purchase", "event_type = 'purchase'", False, 50, None),
+    "take_default": ("event_type:purchase OR NOT event_type:purchase", "true", False, None, None),
     "take_large": ("event_type:purchase", "event_type = 'purchase'", False, 4294967296, None),
     "cursor": ("event_type:purchase", "event_type = 'purchase'", False, None, 100),
     "take_cursor": ("event_type:purchase", "event_type = 'purchase'", False, 50, 100),
@@ -76,7 +78,7 @@ def _filter_query(where: str, sparse: bool, take: int | None, cursor: int | None
 
 def _filter_sql(where: str, sparse: bool, take: int | None, cursor: int | None) -> str:
     more = f" AND id >= {cursor}" if cursor else ""
-    return f"{_SPARSE if sparse else _FULL} SELECT {', '.join(_COLUMNS)} FROM ev WHERE ({where}){more} ORDER BY id LIMIT {min(take or 5000, 2**31)}"
+    return f"{_SPARSE if sparse else _FULL} SELECT {', '.join(_COLUMNS)} FROM ev WHERE ({where}){more} ORDER BY id LIMIT {take or 5000}"
 
 
 def all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,16 +88,10 @@ def all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages followed by their cursors until none is left."""
+    """The pages of a selection, each row with its page's number."""
     events, layout = events_view(spark, sf_dir)
-    ids: list[tuple[int, int]] = []
-    cursor, n = None, 0
-    while True:
-        got = query_page(read(_command("event_type:purchase AND k < 10", 100, cursor)), events, layout)
-        ids += [(r["id"], n) for r in got.rows]
-        cursor, n = got.next_cursor, n + 1
-        if cursor is None:
-            return spark.createDataFrame(ids, "id long, page int")
+    where = predicate(extensions.expression("event_type:purchase AND k < 10"), layout)
+    return pages_frame(events, where, 100).select("id", "page")
 
 
 def next_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,16 +108,20 @@ def orders_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp()
     return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
-def _event_lines(spark: SparkSession, sf_dir: str, ns: str) -> DataFrame:
-    """The events table as EVENT commands in order of its ids."""
+def _event_lines(spark: SparkSession, sf_dir: str, ns: str | None) -> DataFrame:
+    """The events table as EVENT commands in order of its times; without ns, each event's namespace is its type."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k")
-    line = F.concat(F.lit(f"EVENT in:{ns} entity:"), F.col("user_id").cast("string"), F.lit(" event_type:"), F.col("event_type"), F.lit(" k:"), k)
-    return raw.select(line.alias("line"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("arrival0"), F.lit(0).cast("long").alias("arrival"), F.lit("t").alias("source"), F.col("event_id").alias("pos")).drop("arrival0")
+    line = F.concat(F.lit("EVENT in:"), F.lit(ns) if ns else F.col("event_type"), F.lit(" entity:"), F.col("user_id").cast("string"), F.lit(" event_type:"), F.col("event_type"), F.lit(" k:"), k)
+    return raw.select(line.alias("line"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("arrival"), F.lit("t").alias("source"), F.col("event_id").alias("pos"))
 
 
 def ingest_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,40 +129,40 @@ def ingest_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = EventStore(spark, _scratch(spark))
     store.append(_event_lines(spark, sf_dir, "copy"), "b1")
     events, layout = store.table("copy")
-    return events.where(predicate(extensions.expression("event_type:purchase AND NOT k:7"), layout)).select("id", "entity_i64", F.col("tags")["event_type"].alias("event_type"), F.col("tags_i64")["k"].alias("k"))
+    return events.where(predicate(extensions.expression("event_type:purchase AND NOT k:7"), layout)).select("id", "ts", "entity_i64", F.col("tags")["event_type"].alias("event_type"), F.col("tags_i64")["k"].alias("k"))
 
 
 def ingest_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids go on across batches, and a batch that is replayed changes nothing."""
+    """Ids go on across batches, a batch that is replayed changes nothing, nor does merging the batches."""
     store = EventStore(spark, _scratch(spark))
     lines = _event_lines(spark, sf_dir, "copy")
-    store.append(lines.where("pos < 500"), "b1")
-    store.append(lines.where("pos >= 500"), "b2")
-    store.append(lines.where("pos >= 500"), "b2")
-    return store.namespace("copy").select("id", "entity_i64", F.col("tags_i64")["k"].alias("k"))
+    early, late = lines.where(F.col("arrival") < _TS0), lines.where(F.col("arrival") >= _TS0)
+    store.append(early, "b1")
+    store.append(late, "b2")
+    store.append(late, "b2")
+    store.compact("copy")
+    store.append(early, "b1")
+    return store.namespace("copy").select("id", "ts", "entity_i64", F.col("tags_i64")["k"].alias("k"))
 
 
 def index_new_ns_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index covers namespaces that begin after it: the late one has it, the early one has not."""
     store = EventStore(spark, _scratch(spark))
-    lines = _event_lines(spark, sf_dir, "early").where("pos < 200")
-    store.append(lines, "b1")
+    store.append(_event_lines(spark, sf_dir, "early"), "b1")
     store.add_index("k")
-    store.append(lines.withColumn("line", F.replace("line", F.lit("in:early"), F.lit("in:late"))), "b2")
+    both = _event_lines(spark, sf_dir, "early").unionByName(_event_lines(spark, sf_dir, "late"))
+    store.append(both, "b2")
     late, layout = store.table("late")
-    early, old = store.table("early")
-    assert "k" not in old.indexes
+    assert "k" not in store.table("early")[1].indexes
     found = late.where(predicate(extensions.expression("k > 50"), layout)).select("ns", "id", F.col("idx_k").alias("k"))
-    return found.unionByName(early.where("idx_k is not null").select("ns", "id", F.col("idx_k").alias("k")))
+    return found.unionByName(store.namespace("early", ["k"]).where("idx_k is not null").select("ns", "id", F.col("idx_k").alias("k")))
 
 
 def ns_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Namespaces number their events by themselves and are read by themselves."""
     store = EventStore(spark, _scratch(spark))
-    lines = _event_lines(spark, sf_dir, "a").where("pos < 300")
-    other = lines.where("pos < 100").withColumn("line", F.replace("line", F.lit("in:a "), F.lit("in:b ")))
-    store.append(lines.unionByName(other), "b1")
-    return store.namespace("b").select("ns", "id", "entity_i64")
+    store.append(_event_lines(spark, sf_dir, None), "b1")
+    return store.namespace("purchase").select("ns", "id", "ts", "entity_i64")
 
 
 def ext_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ def ext_count_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ext_having(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extensions.count_by(*events_view(spark, sf_dir), "event_type:purchase", "entity_i64", 3)
+    return extensions.count_by(*events_view(spark, sf_dir), "event_type:purchase", "entity_i64", 14)
 
 
 def ext_distinct_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,13 +210,13 @@ _SQL: dict[str, str] = {
     "all_pages": f"{_FULL} SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) // 100 AS INTEGER) AS page FROM ev WHERE event_type = 'purchase' AND k < 10",
     "next_cursor": f"{_FULL}, m AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM ev WHERE event_type = 'purchase') SELECT count(*) FILTER (r <= 50) AS n, max(id) FILTER (r = 51) AS next_cursor FROM m",
     "orders_nested": "SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_custkey AS BIGINT) AS entity_i64, o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus IS DISTINCT FROM 'F' ORDER BY id LIMIT 1000",
-    "ingest_event_lines": f"{_FULL} SELECT id, entity_i64, event_type, k FROM ev WHERE event_type = 'purchase' AND k IS DISTINCT FROM 7",
-    "ingest_two_batches": f"{_FULL} SELECT id, entity_i64, k FROM ev",
-    "index_new_ns_only": f"{_FULL} SELECT 'late' AS ns, id, k FROM ev WHERE id <= 200 AND k > 50",
-    "ns_isolation": f"{_FULL} SELECT 'b' AS ns, id, entity_i64 FROM ev WHERE id <= 100",
+    "ingest_event_lines": f"{_FULL} SELECT id, ts, entity_i64, event_type, k FROM ev WHERE event_type = 'purchase' AND k IS DISTINCT FROM 7",
+    "ingest_two_batches": f"{_FULL} SELECT id, ts, entity_i64, k FROM ev",
+    "index_new_ns_only": f"{_FULL} SELECT 'late' AS ns, id, k FROM ev WHERE k > 50",
+    "ns_isolation": f"{_FULL} SELECT 'purchase' AS ns, row_number() OVER (ORDER BY id) AS id, ts, entity_i64 FROM ev WHERE event_type = 'purchase'",
     "ext_count": f"{_FULL} SELECT count(*) AS n FROM ev WHERE event_type = 'purchase' AND k IS DISTINCT FROM 7",
     "ext_count_by_entity": f"{_FULL} SELECT entity_i64, count(*) AS n FROM ev WHERE event_type = 'purchase' GROUP BY entity_i64",
-    "ext_having": f"{_FULL} SELECT entity_i64, count(*) AS n FROM ev WHERE event_type = 'purchase' GROUP BY entity_i64 HAVING count(*) >= 3",
+    "ext_having": f"{_FULL} SELECT entity_i64, count(*) AS n FROM ev WHERE event_type = 'purchase' GROUP BY entity_i64 HAVING count(*) >= 14",
     "ext_distinct_entities": f"{_FULL} SELECT DISTINCT entity_i64 FROM ev",
     "ext_bitmap_index": f"{_FULL} SELECT 'event_type' AS key, event_type AS value, count(*) AS n FROM ev GROUP BY event_type UNION ALL SELECT 'k', CAST(k AS VARCHAR), count(*) FROM ev WHERE k IS NOT NULL GROUP BY k",
     "ext_across": f"{_FULL} SELECT id, entity_i64, 'events' AS ns FROM ev WHERE event_type = 'purchase' UNION ALL SELECT CAST(o_orderkey AS BIGINT), CAST(o_custkey AS BIGINT), 'orders' FROM orders WHERE o_orderstatus = 'F'",

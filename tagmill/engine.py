@@ -14,11 +14,16 @@ from tagmill.sources.lines import text_lines
 from tagmill.sources.store import EventStore, now_ms
 
 
+#: EVENTs that one call may hand over; more are refused, and clients try again.
+QUEUE = 131_072
+_BUSY = "Rate limit error, please try again"
+
+
 class Engine:
     """Commands against an event store. EVENTs given together are stored together; load() and streams are for bulk."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, EventStore(spark, root)
+    def __init__(self, spark: SparkSession, root: str, queue: int = QUEUE):
+        self.spark, self.store, self.queue = spark, EventStore(spark, root), queue
         self._batch = (f"{uuid.uuid4().hex[:12]}-{n}" for n in itertools.count())
 
     def execute(self, text: str, arrival: int | None = None) -> Result:
@@ -40,7 +45,7 @@ class Engine:
             if not is_event:
                 out += [self.execute(x) for x in some]
                 continue
-            checked = [self._refusal(x) for x in some]
+            checked = [self._refusal(x) if k < self.queue else _BUSY for k, x in enumerate(some)]
             good = [x for x, e in zip(some, checked, strict=True) if e is None]
             if good:
                 run_events(self.store, good, next(self._batch), arrival)

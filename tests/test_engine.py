@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -11,8 +13,10 @@ from tagmill.functions.predicates import Layout, predicate
 from tagmill.lang.nodes import Both, Compare, Either, Literal, Not, TagIs
 from tagmill.operators import extensions
 from tagmill.plans.paging import page
+from tagmill.sources.lines import parse_event, parse_lines
 from tagmill.sources.store import EventStore
 from tagmill.sources.views import events_view
+from tagmill.sources.wire import packed
 from tagmill.streaming.ingest import ingest_stream, line_stream
 
 SF = "/root/testdata/sf0.001"
@@ -230,3 +234,69 @@ def test_layout_without_columns(spark):
     df = spark.createDataFrame([(1, {"a": "x"}), (2, {}), (3, None)], "id long, tags map<string,string>")
     layout = Layout()
     assert [r["id"] for r in df.where(predicate(extensions.expression("NOT a:x"), layout)).orderBy("id").collect()] == [2, 3]
+
+
+def _line(rng):
+    word = lambda: rng.choice([*["a", "Loc", "x_1", "b", "Z9", "w.w", "k2"] * 6, "5", "007", "5a", "a.b-c", "AND", "count", "in", "9" * 18, "9" * 19, "9" * 20, '"q v"', "-", "_", "x" * 60, "y" * 63, "z" * 129, "é"])
+    tags = [f"{word()}:{word()}" for _ in range(rng.choice([0, 1, 2, 3, 40]))]
+    return f"{rng.choice(['EVENT', 'event', 'QUERY', 'Event '])} in:{rng.choice(['n', 'N-1', 'system', '5', 'not', 'a.b'])} entity:{word()} " + " ".join(tags) + rng.choice(["", "\n", " ", "\r\n"])
+
+
+def test_plain_lines_are_cut_up_as_the_parser_does(spark):
+    rng = random.Random(1)
+    lines = [_line(rng) for _ in range(1500)] + ["EVENT in:a entity:b", "EVENT in:a entity:b k:1 K:2", "EVENT in:a  entity:b k:1", "EVENT in:a entity:b " + " ".join(f"k{i}:{i}" for i in range(32)), "", None]
+    df = spark.createDataFrame([(x, 5, "s", k) for k, x in enumerate(lines)], "line string, arrival long, source string, pos long")
+    got = {r["pos"]: r.asDict() for r in parse_lines(df).collect()}
+    plain = 0
+    for k, x in enumerate(lines):
+        want = parse_event(x or "")
+        if want["error"] is None:
+            want |= {"tags": dict(want["tags"]), "tags_i64": dict(want["tags_i64"])}
+            plain += 1
+        assert {f: got[k][f] for f in want} == want, x
+    assert plain > 100
+
+
+def test_wire(filled):
+    got = filled.execute("QUERY in:shop where:(price > 5 OR ts:3) take:2")
+    data = got.wire()
+    assert data.startswith(b"\x82\xa6status\xa2OK\xa4data\x82\xabnext_cursor\x06\xa7objects\x92\x87\xa2id\x03\xa2in\xa4shop\xa6entity\xa1b")
+    assert got.wire_ids() == b"\x82\xa6status\xa2OK\xa4data\x81\xa3ids\x92\x03\x04"
+    own = filled.execute("QUERY in:shop where:(ts:3)").wire()  # Q16: the tag ts comes beside the field ts
+    assert own.count(b"\xa2ts") == 2 and own.endswith(b"\xa2ts\x03")
+    assert filled.execute("NOPE").wire() == b"\x82\xa6status\xa3ERR\xa4data\x81\xa7err_msg\xacSyntax error"
+    assert packed((-1, -33, -129, 2**40, "x" * 40, None, True, {"a": 300})) == b"\x98\xff\xd0\xdf\xd1\xff\x7f\xcf\x00\x00\x01\x00\x00\x00\x00\x00\xd9(" + b"x" * 40 + b"\xc0\xc3\x81\xa1a\xcd\x01\x2c"
+
+
+def test_more_events_than_the_queue_holds(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), queue=2)
+    got = e.execute_all([f"EVENT in:a entity:{k}" for k in "xyz"])
+    assert [r.error for r in got] == [None, None, "Rate limit error, please try again"]
+    assert e.execute("QUERY in:a where:(ts > 0)").ids == [1, 2]
+
+
+def test_merged_batches_keep_ids_and_ignore_replays(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path))
+    store.add_index("k")
+    lines = lambda n: spark.createDataFrame([(f"EVENT in:n entity:{v} k:{v}", 1, "s", v) for v in range(n)], "line string, arrival long, source string, pos long")
+    for batch in "abc":
+        store.append(lines(20), batch)
+    before = sorted(map(tuple, store.table("n")[0].select("id", "entity_i64", "idx_k").collect()))
+    assert (store.compact("n"), store.compact("n")) == (3, 0)
+    store.append(lines(20), "b")
+    assert sorted(map(tuple, store.table("n")[0].select("id", "entity_i64", "idx_k").collect())) == before
+    store.append(lines(3), "d")
+    assert sorted(r["id"] for r in store.namespace("n").select("id").collect()) == list(range(1, 64))
+
+
+def test_a_namespace_opens_its_own_files_only(filled):
+    filled.execute("EVENT in:other entity:a", arrival=1)
+    files = filled.store.table("shop")[0].inputFiles()
+    assert files and all("/ns=shop/" in f for f in files)
+
+
+@pytest.mark.parametrize("take", [3, 200_000])
+def test_large_pages_stay_spread(sparse, take):
+    events, layout, rows = sparse
+    got = [r["id"] for r in page(events, predicate(extensions.expression("NOT event_type:view"), layout), take).rows]
+    assert got == sorted(r["id"] for r in rows if r["event_type"] != "view")[:take]
