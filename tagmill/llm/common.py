@@ -49,10 +49,20 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)  # a plan made inside, for a plan keeps the setting it was made under
 
 
-def others(docs: DataFrame, *outputs: str) -> list[str]:
-    """The columns of docs that an operator passes on: all but those named like one of its outputs."""
-    taken = {o.lower() for o in outputs}
-    return [c for c in docs.columns if c.lower() not in taken]
+def others(docs: DataFrame, *taken: str) -> list[str]:
+    """The columns of docs but those named like one of `taken`: an operator's output replaces a column of its name."""
+    low = {o.lower() for o in taken}
+    return [c for c in docs.columns if c.lower() not in low]
+
+
+def boxed(docs: DataFrame, *apart: str) -> Column:
+    """All columns of docs but `apart` as one, _row, so that no name of theirs meets a name used inside an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in others(docs, *apart)]).alias("_row")
+
+
+def unboxed(docs: DataFrame, *taken: str, **own: Column) -> list[Column]:
+    """The columns of docs out of _row again, in their order; `own` says what stands for those kept apart."""
+    return [own.get(c.lower(), F.col("_row").getField(c)).alias(c) for c in others(docs, *taken)]
 
 
 def row_key(doc_id: str | Column, text: str | Column) -> list[Column]:

@@ -13,9 +13,11 @@ Rows are numbered within their source without gathering a source: they fall into
 are numbered in each bucket, and the buckets' counts (at most 65,536 a source) are summed up. Blocks meet
 their slots in a broadcast join, above `broadcast_entries` blocks in an ordinary one.
 
-`weights` maps sources to positive numbers; without it a source weighs the square root of its row count. A source that
+`weights` maps sources to positive numbers, the shares wanted; tempered() makes them from the sources' sizes, with
+exponent 1/2 where none are given. A source that
 `weights` does not name, or names with nothing, comes after the named ones are used up. A null source is a source of its
-own. Repeated rows are rows of their own. Empty tables give an empty result. At most `max_sources` sources are allowed
+own. Repeated rows are rows of their own. Texts of any length are only hashed. Empty tables give an empty result. A column
+with the name of an output (block, slot, place) is replaced by it; others pass unchanged. At most `max_sources` sources are allowed
 (the table of sources is read by the driver); more raise an error.
 """
 
@@ -29,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -124,21 +126,35 @@ def _table(spark: SparkSession, plan: dict[int, array]) -> DataFrame:
     return reduce(DataFrame.union, frames) if frames else spark.createDataFrame([], schema)
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, max_sources: int = MAX_SOURCES, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """docs with block, slot and place added: the order of the mix is (slot, place)."""
-    spark = docs.sparkSession
+def _sizes(docs: DataFrame, max_sources: int) -> list[Row]:
     sizes = docs.groupBy("source").count().limit(max_sources + 1).collect()
     if len(sizes) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
+    return sizes
+
+
+def tempered(docs: DataFrame, exponent: float = 0.5, max_sources: int = MAX_SOURCES) -> dict[str | None, float]:
+    """Target weights from the sources' row counts: exponent 1 keeps their proportions, 0 makes them equal."""
+    sizes = _sizes(docs, max_sources)
+    total = sum(r["count"] ** exponent for r in sizes)
+    return {r["source"]: r["count"] ** exponent / total for r in sizes}
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, max_sources: int = MAX_SOURCES, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    """docs with block, slot and place added: the order of the mix is (slot, place)."""
+    spark = docs.sparkSession
+    sizes = _sizes(docs, max_sources)
     sizes.sort(key=lambda r: (r["source"] is not None, r["source"] or ""))
     blocks = {k: -(-r["count"] // block_rows) for k, r in enumerate(sizes)}
-    wanted = {k: math.sqrt(r["count"]) if weights is None else max(0.0, float(weights.get(r["source"], 0.0))) for k, r in enumerate(sizes)}
+    weights = {r["source"]: math.sqrt(r["count"]) for r in sizes} if weights is None else weights
+    wanted = {k: max(0.0, float(weights.get(r["source"], 0.0))) for k, r in enumerate(sizes)}
     plan = phases(blocks, wanted, period)
     entries = sum(map(len, plan.values()))
     schedule = _table(spark, plan)
     names = spark.createDataFrame([(r["source"], k) for k, r in enumerate(sizes)], "_source string, _k int")
     buckets = max(1, min(65536, sum(r["count"] for r in sizes) // 1000))
-    keyed = docs.withColumn("_h", F.xxhash64("doc_id", "text")).withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(buckets)))
+    outputs = ("block", "slot", "place")
+    keyed = docs.select("source", "doc_id", common.boxed(docs, *outputs), F.xxhash64("doc_id", "text").alias("_h")).withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(buckets)))
     counts = keyed.groupBy("source", "_b").count()
     before = counts.select(F.col("source").alias("_s"), F.col("_b").alias("_c"), (F.sum("count").over(Window.partitionBy("source").orderBy("_b")) - F.col("count")).alias("_before"))
     numbered = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("source", "_b").orderBy("_h", "doc_id")) - 1)
@@ -146,4 +162,4 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     told = at.withColumn("block", F.expr(f"_n div {block_rows}")).withColumn("place", (F.col("_n") % block_rows).cast("int"))
     side = F.broadcast(schedule) if entries <= broadcast_entries else schedule
     told = told.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source"))).join(side, ["_k", "block"])
-    return told.select(*docs.columns, "block", "slot", "place")
+    return told.select(*common.unboxed(docs, *outputs), *outputs)

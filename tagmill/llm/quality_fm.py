@@ -155,7 +155,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Machine:
     # a repeated doc_id of the sample must not lengthen what is fetched
-    rows = training_rows(docs, labels, max_train).dropDuplicates(["doc_id"]).limit(max_train).toArrow().sort_by("doc_id")
+    told = training_rows(docs, labels, max_train).groupBy("doc_id").agg(F.min(F.struct("idx", "val", "y")).alias("x"))
+    rows = told.select("doc_id", "x.*").limit(max_train).toArrow().sort_by("doc_id")
     vectors = [(np.frombuffer(i, np.int16).astype(np.int32), np.frombuffer(v, np.float16).astype(np.float32)) for i, v in zip(rows["idx"].to_pylist(), rows["val"].to_pylist(), strict=True)]
     return fit(vectors, np.array([float(y >= 0.5) for y in rows["y"].to_pylist()]))
 

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import common, decontaminate, exact_topk, html_extract, line_dedup, mixing, order_minhash, quality_fm, secret_scan, substring_dedup, surrogates
 
 
+#: For the invented people of test tables; real texts want a secret in spark.tagmill.surrogates.key.
+DEMONSTRATION_KEY = "demonstration"
+
+
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -41,11 +43,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot", "place")
+    docs = common.table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.tempered(docs)).select("doc_id", "source", "block", "slot", "place")
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymise(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    key = spark.conf.get("spark.tagmill.surrogates.key", DEMONSTRATION_KEY)
+    return surrogates.pseudonymise(common.table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_entities")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +57,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this folder, so not at the top
+
     return corpus_pipeline.run(spark, sf_dir)
 
 

@@ -244,10 +244,34 @@ def test_surrogates(spark):
 def test_distinct_entities_stay_distinct(spark):
     rows = [(i, f"x {i // 100}.{i % 100}.0.1 and Mr. Li{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]} and a{i % 26}@b.co") for i in range(1000)]
     found = surrogates.entities(spark.createDataFrame(rows, DOC))
-    table = {r["mention"]: r["surrogate"] for r in surrogates.surrogate_table(found).collect()}
+    table = {r["mention"]: r["surrogate"] for r in surrogates.surrogate_table(found, "k").collect()}
     assert len(set(table.values())) == len(table) == 2000 + 26
     assert not set(table) & set(table.values())
 
 
 def test_surrogates_of_an_empty_table(spark):
-    assert surrogates.pseudonymise(spark.createDataFrame([], DOC)).count() == 0
+    assert surrogates.pseudonymise(spark.createDataFrame([], DOC), "k").count() == 0
+
+
+def test_people_keep_their_names_gender_and_mentions(spark):
+    rows = [
+        (1, "Mrs. Clara Jones met Bob Smith. Later Clara Jones left, and SMITH stayed with Clara."),
+        (2, "Dr. Anna Maria Schmidt wrote; Frau Schmidt and Dr. Schmidt agreed. Herr J. R. von Smith did not."),
+        (3, "Mrs. Anna Lee and Dr. Anna Lee. The Jones of nobody."),
+        (4, "Later nobody left. Smith is a word here."),
+        (5, "\ue000 Bob Smith \ue000 and Smith"),
+        (6, "DE89 3704 0044 0532 0130 00 and DE88370400440532013000"),
+    ]
+    text = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(spark.createDataFrame(rows, DOC), "k").collect()}
+    clara, jones, bob, smith = re.match(r"Mrs\. (\S+) (\S+) met (\S+) (\S+)\. Later", text[1]).groups()
+    assert text[1] == f"Mrs. {clara} {jones} met {bob} {smith}. Later {clara} {jones} left, and {smith.upper()} stayed with {clara}."
+    assert clara in surrogates._FIRST["f"].split() and bob in surrogates._FIRST["m"].split()
+    assert len({clara, jones, bob, smith, "Clara", "Jones", "Bob", "Smith"}) == 8
+    anna, maria, schmidt = re.match(r"Dr\. (\S+) (\S+) (\S+) wrote", text[2]).groups()
+    assert anna in surrogates._FIRST["f"].split() and f"Frau {schmidt} and Dr. {schmidt} agreed. Herr " in text[2] and f"von {smith} did not." in text[2]
+    assert re.match(rf"Mrs\. {anna} (\S+) and Dr\. {anna} \1\. The Jones of nobody\.", text[3])
+    assert text[4] == rows[3][1]
+    assert text[5] == f"\ue000 {bob} {smith} \ue000 and {smith}"
+    one, two = re.match(r"(.{27}) and (.{22})", text[6]).groups()
+    valid = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert valid(one.replace(" ", "")) and not valid(two) and one[:2] == "DE" and one != rows[5][1][:27]
