@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -87,6 +88,11 @@ def test_secrets_of_an_empty_table(spark):
         ('<script>var t="</p><article>no</article>";</script><article>yes</article>', "yes"),
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\nb\nc\nd"),
         ("<article>a <i>b</i>c</article>", "a bc"),
+        ('<article><div class="article-header"><h1>Title</h1></div><p>x</p></article>', "Title\nx"),
+        ('<article><ul class="share-prices"><li>up</ul><p class="notice-of-award">won</p></article>', "up\nwon"),
+        ('<div class="site-header-less"><article>a</article></div><div class="site-header"><article>no</article></div>', "a"),
+        ("<article><p>the main text is long</p></article><article><p>teaser</p></article>", "the main text is long"),
+        ('<article>a<article class="comment">no</article></article>', "a\nno"),
     ],
 )
 def test_main_blocks(html, want):
@@ -115,6 +121,40 @@ def test_copies_and_quotes_of_unmarked_pages_stay(spark):
     assert all(got[k] == f"{quote}\nown text {k} of this page" for k in (3, 4))
 
 
+def brute_open(pages, span=8, contents=3):
+    """Open pages (host, blocks): tokens under windows that begin in three distinct contents of the host, by suffix comparison."""
+    streams = [(h, " ".join(b).split(" "), tuple(b)) for h, b in pages]
+    out = []
+    for h, w, b in streams:
+        hit = {i for i in range(len(w) - span + 1) if len({c for g, x, c in streams if g == h and any(x[j : j + span] == w[i : i + span] for j in range(len(x) - span + 1))}) >= contents}
+        gone, at, text = {i + k for i in hit for k in range(span)}, 0, []
+        for block in b:
+            n = len(block.split(" "))
+            own = gone if gone >= set(range(at, at + n)) else {i + k for i in hit if at <= i and i + span <= at + n for k in range(span)}
+            text.append(" ".join(w[i] for i in range(at, at + n) if i not in own))
+            at += n
+        out.append("\n".join(x for x in text if x))
+    return out
+
+
+def test_open_pages_are_those_of_brute_force(spark):
+    rng = random.Random(3)
+    menu, legal = "Home About Contact Press Jobs Help".split(), "all rights reserved by the owners of this fine site since it began"
+    pages = []
+    for k in range(24):
+        body = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 6))]
+        pages.append((f"h{k % 2}.example", [*menu, "Introduction", *body, f"{legal} {k}", *rng.choice([[], ["Home About Contact Press Jobs Help more more"]])]))
+    pages += [("h0.example", pages[0][1]), ("h1.example", ["x " * 20_000 + "end"])]
+    rows = [(k, f"https://user@{h.upper()}:80/p{k}", "<body>" + "".join(f"<div>{x}</div>" for x in b)) for k, (h, b) in enumerate(pages)]
+    df = spark.createDataFrame([*rows, rows[1]], "page_id long, url string, html string")
+    for c in ("text", "blocks", "host", "hits", "_p", "n_chars"):
+        df = df.withColumn(c, F.lit("x"))
+    got = sorted((r["page_id"], r["text"]) for r in html_extract.extract(df).collect())
+    want = brute_open([(h, [" ".join(x.split()) for x in b]) for h, b in pages])
+    assert got == sorted([*enumerate(want), (1, want[1])])
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
 def test_pages_of_the_test_table(spark):
     raw = spark.read.parquet(f"{SF}/pages.parquet")
     got = html_extract.extract(raw).collect()
