@@ -6,19 +6,21 @@ a scope (a paragraph, and no more than `reach` code points apart) an interval jo
 parts of the other kinds; a weak candidate is reported only if a complementary part stands in its scope:
 
 * identifier: with a secret (base or weak);
-* weak secret: with an access identifier (base or weak) or an endpoint that carries a secret's address;
-* endpoint: with both an identifier and a secret, or with a base secret.
+* weak secret: with an identifier (base or weak), or with an endpoint and a base secret;
+* endpoint: with both an identifier and a secret, or with a base secret (assignment or hex run).
 
 Each row stands alone, so the scan has no shuffle and no memory beyond one batch of texts. A null text counts as
-empty; an empty text has no spans; repeated rows give repeated results; extra columns of the input are ignored.
+empty; an empty text has no spans; repeated rows give repeated results; texts of any length are scanned whole, in time
+n log n; extra columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,14 +51,21 @@ def _mixed(s: str) -> bool:
     return bool(re.search("[0-9]", s) and re.search("[a-z]", s) and re.search("[A-Z]", s)) and len(set(s)) >= 12
 
 
+def _overlaps(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether any of the spans meets a given one: of those that start before its end, does the furthest reach past its start?"""
+    spans = sorted(spans)
+    starts, furthest = [a for a, _ in spans], list(itertools.accumulate((b for _, b in spans), max))
+    return lambda a, b: (k := bisect.bisect_left(starts, b)) > 0 and furthest[k - 1] > a
+
+
 def weak_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    taken = [(a, b) for a, b, _ in base]
+    taken = _overlaps([(a, b) for a, b, _ in base])
     found = [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)] if "://" in text or "amazonaws" in text else []
     found += [(m.start(), m.end(), "ident") for m in _IDENT.finditer(text)] if ":" in text or "=" in text or "A" in text else []
     found += [(m.start(), m.end(), "key") for m in _KEY.finditer(text) if _mixed(m[0])]
-    free = [x for x in found if not any(x[0] < b and a < x[1] for a, b in taken)]
-    ends = [(a, b) for a, b, k in free if k == "endpoint"]
-    return [x for x in free if x[2] == "endpoint" or not any(x[0] < b and a < x[1] for a, b in ends)]
+    free = [x for x in found if not taken(x[0], x[1])]
+    ends = _overlaps([(a, b) for a, b, k in free if k == "endpoint"])
+    return [x for x in free if x[2] == "endpoint" or not ends(x[0], x[1])]
 
 
 _PART = {"assign": "secret", "hex": "secret", "key": "secret", "access": "ident", "ident": "ident", "endpoint": "endpoint"}
@@ -69,7 +78,7 @@ def link(text: str, base: list[tuple[int, int, str]], weak: list[tuple[int, int,
     breaks = [m.start() for m in _BREAK.finditer(text)]
     starts: dict[str, list[int]] = {}
     for a, b, k in base + weak:
-        for part in {_PART[k], "strong" if k in ("assign", "access", "hex") else _PART[k]}:
+        for part in {_PART[k], "strong" if k in ("assign", "hex") else _PART[k]}:
             starts.setdefault(part, []).append(a)
     for x in starts.values():
         x.sort()
