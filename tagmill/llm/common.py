@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+#: Letters of scripts written without spaces: Thai to Burmese, Khmer, kana, Chinese characters.
+UNSPACED = "([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff])"
+#: Their marks.
+WIDE = "[\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]"
+
+
+def spaced(text: Column) -> Column:
+    """text with each letter of an unspaced script as a word; text must be cheap, as it is read several times."""
+    some = (F.octet_length(text) > F.char_length(text)) & text.rlike(UNSPACED)
+    return F.when(some, F.regexp_replace(F.regexp_replace(text, WIDE, " "), UNSPACED, " $1 ")).otherwise(text)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

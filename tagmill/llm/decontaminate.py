@@ -9,24 +9,24 @@ Slots are then compared: within one alignment (document place minus item place)
 stand for the same thing in the document: the one it stands for most often. Windows that hold a slot against this
 don't count; the others of the alignment do. An item is found in a document if 0.8 or more of its windows are.
 
-The benchmark's windows are broadcast in portions of at most `portion` rows, one pass for each portion, so what is
-broadcast is bounded whatever the benchmark's size. Windows of documents are never shuffled, only those found; texts
-cross the network once, to compare slots where windows were found.
-
-Null texts count as empty. Items of fewer than five words match nothing. A repeated row gives its result once;
-rows with one doc_id and different texts are told apart. Other columns are ignored.
+Texts are cut into windows in one pass, whatever the benchmark's size. Up to `portion` windows of the benchmark are
+broadcast; more meet the windows of texts in a shuffled join, after a broadcast table of a million cells at most has
+let through those whose cell a benchmark window has. Only windows found are shuffled; texts cross the network once, to
+compare slots where windows were found.
+
+Null texts count as empty, very long ones are read whole. Items of fewer than five words match nothing; each letter of a
+script without spaces is a word. A repeated row gives its result once; rows with one doc_id and different texts are told
+apart. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, SIMILARITY, PORTION = 5, 0.8, 100_000
+WINDOW, SIMILARITY, PORTION, CELLS = 5, 0.8, 100_000, 1 << 20
 _UNITS = "kilometers|kilometres|kilograms|centimeters|centimetres|millimeters|millimetres|milliliters|millilitres|meters|metres|miles|minutes|seconds|hours|days|weeks|months|years|dollars|euros|pounds|cents|percent|degrees|liters|litres|grams|feet|inches|yards|acres|ounces|watts|volts|joules|newtons|kmh|mph|rpm|usd|eur|gbp|km|kg|cm|mm|ml|mg|lbs|lb|oz|ft|hz|khz|mhz|ghz|kw|kb|mb|gb|tb|pm|am|m|g|l|s|h|w|v"
 _NUMBER = r"\p{Sc}?[0-9](?:[0-9.,]*[0-9])?"
 _MARKS = "".join(chr(c) for c in [*range(32), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 192)])
@@ -34,7 +34,7 @@ _MARKS = "".join(chr(c) for c in [*range(32), *range(33, 48), *range(58, 65), *r
 
 def template_words(text: Column) -> Column:
     """Words of the template; those that begin with qnumq, qunitq or qnameq are slots and end in their contents."""
-    t = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{N},;][ \n].)(\p{Ll}+)", " qnameq$0")
+    t = F.regexp_replace(common.spaced(text), r"\p{Lu}(?<=[\p{L}\p{N},;][ \n].)(\p{Ll}+)", " qnameq$0")
     t = F.regexp_replace(t, rf"({_NUMBER})(?:[ -]?(%|°[CF]?|(?i:{_UNITS})\b))", " qnumq$1 qunitq$2 ")
     t = F.regexp_replace(t, rf"(?<![qQ0-9.,\p{{Sc}}]){_NUMBER}", " qnumq$0 ")
     return F.array_remove(F.split(F.translate(F.lower(t), _MARKS.replace(".", "").replace(",", "").replace("%", "").replace("°", ""), " " * (len(_MARKS) - 4)), r"[ .,]*(?: |\z)[ .,]*"), "")
@@ -69,16 +69,14 @@ def found_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARIT
     worded = keyed.select("_id", "_th", template_words(F.col("text")).alias("words"))
     bench = common.cut(items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), template_words(F.col("text")).alias("iw"), F.xxhash64("text").alias("ih")).distinct())
     grams = common.cut(_exploded(bench, ["item_id", "ih"], "iw", size))
-    parts = -(-grams.count() // portion)
-    listed = _exploded(worded, ["_id", "_th"], "words", size)
-    passes = []
-    for k in range(max(1, parts)):
-        # every window value lies in one portion, whose size is checked before it is broadcast
-        part = grams if parts <= 1 else common.cut(grams.where(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(parts)) == k))
-        small = parts <= 1 or part.count() <= 4 * portion
-        part = part.withColumnRenamed("at", "q")
-        passes.append(listed.withColumnRenamed("at", "p").join(F.broadcast(part) if small else part, "w").select("_id", "_th", "p", "item_id", "ih", "q"))
-    hits = reduce(DataFrame.union, passes).distinct()
+    few = grams.count() <= portion
+    listed = _exploded(worded, ["_id", "_th"], "words", size).withColumnRenamed("at", "p")
+    if not few:
+        # at most CELLS rows are broadcast, whatever the benchmark's size
+        cell = F.pmod("w", F.lit(CELLS)).cast("int")
+        listed = listed.withColumn("_cell", cell).join(F.broadcast(grams.select(cell.alias("_cell")).distinct()), "_cell", "left_semi")
+    asked = grams.withColumnRenamed("at", "q")
+    hits = listed.join(F.broadcast(asked) if few else asked, "w").select("_id", "_th", "p", "item_id", "ih", "q").distinct()
     by_doc = common.cut(hits.groupBy("_id", "_th").agg(F.collect_list(F.struct("p", "item_id", "ih", "q")).alias("hits")))
     # slots, only in documents with hits
     texts = keyed.select("_id", "_th", "doc_id", "text").join(by_doc, ["_id", "_th"]).dropDuplicates(["_id", "_th"])

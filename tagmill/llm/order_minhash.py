@@ -21,6 +21,7 @@ same doc_id and text are one document and each gets the row's class. Other colum
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ from .wordtape import Tape, mix, tapes, windows
 
 SHINGLE, SIMILARITY, SKETCHES, ELL = 5, 0.8, 32, 2
 _ALPHABET = 1856  # U+00C0 to U+07FF, two bytes each
+_UNSPACED, _WIDE = re.compile(common.UNSPACED), re.compile(common.WIDE)
 _U = np.uint64
 _rng = np.random.default_rng(5)
 _ODD = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(_U) | _U(1)
@@ -41,8 +43,14 @@ _TABLE = bytes(32 if c < 48 or 57 < c < 97 or 122 < c < 128 else c for c in rang
 
 
 def plain(column: pa.Array) -> pa.Array:
-    """Lower-case texts with marks as spaces, as bytes."""
-    return pa.array([(t or "").lower().encode().translate(_TABLE) for t in column.to_pylist()], pa.large_binary())
+    """Lower-case texts with marks as spaces, as bytes; letters of unspaced scripts are words."""
+
+    def one(t: str) -> bytes:
+        if not t.isascii() and _UNSPACED.search(t):
+            t = _UNSPACED.sub(r" \1 ", _WIDE.sub(" ", t))
+        return t.lower().encode().translate(_TABLE)
+
+    return pa.array([one(t or "") for t in column.to_pylist()], pa.large_binary())
 
 
 def labelled(t: Tape) -> tuple[np.ndarray, np.ndarray]:

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Runs of ASCII characters that are neither letters nor digits.
 BETWEEN = r"[\x00-/:-@\x5b-`{-\x7f]+"
 SAMPLE, CELLS, CROWD, LONG = 8192, 1 << 17, 64, 200
@@ -30,7 +32,7 @@ def _rank(count: int) -> int:
 
 
 def word_hashes(text: Column) -> Column:
-    return F.transform(F.array_remove(F.split(F.lower(text), BETWEEN), ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(F.split(common.spaced(F.lower(text)), BETWEEN), ""), lambda w: F.xxhash64(w))
 
 
 def frequencies(docs: DataFrame, hashes: Column) -> Column:

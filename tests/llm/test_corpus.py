@@ -393,6 +393,15 @@ def test_leaks_of_the_test_table(spark):
     assert want <= got
 
 
+def test_unspaced_scripts_in_lines_texts_and_items(spark):
+    item = "\u706b\u8f66\u4e5d\u70b9\u79bb\u5f00\u6ce2\u58eb\u987f\u4e09\u5c0f\u65f6\u8d70\u4e86\u4e00\u767e\u516c\u91cc"
+    rows = [(1, f"{item}\u3002"), (2, item), (3, "\u5b8c\u5168\u4e0d\u540c\u7684\u53e5\u5b50\u6ca1\u6709\u4efb\u4f55\u5173\u7cfb")]
+    df = spark.createDataFrame(rows, DOC)
+    assert {r["doc_id"] for r in decontaminate.found_items(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()} == {1, 2}
+    assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(df).collect()} == {1: 0, 2: 1, 3: 0}
+
+
 def test_benchmark_of_nothing(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f")], DOC), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.found_items(docs.limit(0), items).count() == 0
