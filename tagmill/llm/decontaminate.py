@@ -3,7 +3,8 @@
 Texts become templates: numbers, units after numbers and names (capitalised words inside a sentence) turn into typed
 placeholders that still carry what they stood for; other words are lower case without marks. Windows of five template
 words are hashed and joined with the benchmark's windows. A window that holds names is hashed twice, with names as
-placeholders and as plain words, so that a change of letter case hides nothing.
+placeholders and as plain words, so that a change of letter case hides nothing. A window of placeholders only stands for
+their contents: lists of numbers don't match each other, but are found when copied.
 
 Slots are then compared: within one alignment (document place minus item place) each thing in the item must always
 stand for the same thing in the document: the one it stands for most often. Windows that hold a slot against this
@@ -36,7 +37,7 @@ def template_words(text: Column) -> Column:
     """Words of the template; those that begin with qnumq, qunitq or qnameq are slots and end in their contents."""
     t = F.regexp_replace(common.spaced(text), r"\p{Lu}(?<=[\p{L}\p{N},;][ \n].)(\p{Ll}+)", " qnameq$0")
     t = F.regexp_replace(t, rf"({_NUMBER})(?:[ -]?(%|°[CF]?|(?i:{_UNITS})\b))", " qnumq$1 qunitq$2 ")
-    t = F.regexp_replace(t, rf"(?<![qQ0-9.,\p{{Sc}}]){_NUMBER}", " qnumq$0 ")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}0-9.,\p{{Sc}}]){_NUMBER}", " qnumq$0 ")
     return F.array_remove(F.split(F.translate(F.lower(t), _MARKS.replace(".", "").replace(",", "").replace("%", "").replace("°", ""), " " * (len(_MARKS) - 4)), r"[ .,]*(?: |\z)[ .,]*"), "")
 
 
@@ -54,12 +55,18 @@ def _windows(words: Column, names: bool, size: int) -> Column:
 
 def _exploded(df: DataFrame, keys: list[str], words: str, size: int) -> DataFrame:
     """(keys, at, w): each window's hash, with names as slots and, where that differs, as words."""
-    h = df.select(*keys, _windows(F.col(words), True, size).alias("b"), F.exists(words, lambda w: F.startswith(w, F.lit("qnameq"))).alias("named"), words)
-    both = h.select(*keys, "b", F.when(F.col("named"), _windows(F.col(words), False, size)["h"]).otherwise(F.lit(None)).alias("a"))
+    slot = lambda w: w.rlike("^q(num|unit|name)q")
+    told = df.select(*keys, _windows(F.col(words), True, size).alias("b"), F.exists(words, lambda w: F.startswith(w, F.lit("qnameq"))).alias("named"), words)
+    told = told.withColumn("a", F.when(F.col("named"), _windows(F.col(words), False, size)["h"]))
+    # windows of slots only say nothing about a template: they stand for their contents
+    bare = F.when(F.size(F.filter(words, slot)) >= size, F.struct(F.transform(words, lambda w: slot(w).cast("int")).alias("is"), F.transform(words, lambda w: F.xxhash64(F.lit("="), w)).alias("h")))
+    told = told.select(*keys, "a", "b", bare.alias("c"))
     at = lambda c, i: F.xxhash64(*[c[i + k] for k in range(size)])
+    full = lambda i: sum((F.col("c.is")[i + k] for k in range(1, size)), F.col("c.is")[i]) == size
     one = F.transform(F.col("b.s"), lambda i: F.array(at(F.col("b.h"), i)))
-    two = F.transform(F.col("b.s"), lambda i: F.array_distinct(F.array(at(F.col("b.h"), i), at(F.col("a"), i))))
-    listed = both.select(*keys, F.posexplode(F.when(F.col("a").isNull(), one).otherwise(two)).alias("at", "ws"))
+    two = F.transform(F.col("b.s"), lambda i: F.array_distinct(F.array(at(F.col("b.h"), i), at(F.coalesce("a", "b.h"), i))))
+    three = F.transform(F.col("b.s"), lambda i: F.when(full(i), F.array(at(F.col("c.h"), i))).otherwise(F.array_distinct(F.array(at(F.col("b.h"), i), at(F.coalesce("a", "b.h"), i)))))
+    listed = told.select(*keys, F.posexplode(F.when(F.col("c").isNotNull(), three).when(F.col("a").isNull(), one).otherwise(two)).alias("at", "ws"))
     return listed.select(*keys, "at", F.explode("ws").alias("w"))
 
 

@@ -384,6 +384,15 @@ def test_one_altered_slot_costs_its_windows_only(spark):
     assert row["n_found"] == row["n_windows"] - 5
 
 
+def test_lists_of_numbers_match_only_when_copied(spark):
+    rng = random.Random(5)
+    listed = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    item = listed(40)
+    docs = [(1, f"numbers {item} end"), (2, listed(20_000)), (3, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20_000)))]
+    got = decontaminate.found_items(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, item), (2, listed(3_000))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["share"]) for r in got] == [(1, 1, 1.0)]
+
+
 def test_leaks_of_the_test_table(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: re.sub(r"\W+", " ", (t or "").lower()).split()
