@@ -163,16 +163,19 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
 
 def with_scores(docs: DataFrame, machine: Machine, column: str = "_score") -> DataFrame:
     """docs with the score of each row's whole text added; the other columns pass unchanged."""
-    names = docs.columns
-    schema = docs.withColumn(column, F.lit(0.0)).schema
+    columns = docs.columns
+    # names of any kind, with dots too, are out of the way meanwhile
+    names = [c if c in ("text", "n_chars") else f"c{k}" for k, c in enumerate(columns)]
+    docs = docs.toDF(*names)
+    schema = docs.withColumn("s", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ns = b["n_chars"].to_pylist() if "n_chars" in names else [None] * b.num_rows
             got = [machine.score(*features(t, n)) for t, n in zip(b["text"].to_pylist(), ns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*names, column])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*names, "s"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*columns, column)
 
 
 def quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
