@@ -117,7 +117,7 @@ def stored(df: DataFrame) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{folder}/tagmill-{uuid.uuid4().hex}"
     with _tidy(spark):
-        df.select("*").write.parquet(path)
+        df.select("*").write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
