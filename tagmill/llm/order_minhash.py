@@ -8,7 +8,7 @@ rather than mere overlap. Candidates are verified by a banded alignment of their
 Equal texts are one node (their text hash). A bucket ties its nodes to its smallest and its largest one, never all
 pairs. Verification goes in two rounds: every node against the hub it shares most buckets with, then every candidate
 pair whose ends are not yet in one class. What the sketches or the hubs miss is found by a third round: all pairs of
-texts of different classes that may reach the similarity, by their rarest words (`prefixes`), without loss. Classes are
+texts of different classes that may reach the similarity, by their rarest word pairs (`prefixes`), without loss. Classes are
 the connected components of verified pairs and equal texts.
 
 Nothing is gathered by bucket or class; hubs meet their spokes in joins that Spark can split. Whole texts are read in
@@ -26,11 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, prefixes
-from .prefixes import word_hashes
 from .wordtape import Tape, mix, tapes, windows
 
 SHINGLE, SIMILARITY, SKETCHES, ELL = 5, 0.8, 32, 2
@@ -99,21 +98,27 @@ def sketches(labels: np.ndarray, first: np.ndarray, number: int = SKETCHES) -> t
     return rows, out
 
 
-def _buckets(number: int):  # noqa: ANN202
+def _told(number: int, similarity: float, ranks: tuple[np.ndarray, np.ndarray]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # equal texts of one task sketch once; forgotten when large
-        for b in batches:
-            th = b["_th"].to_numpy(zero_copy_only=False)
-            if len(seen) > 500_000:
-                seen.clear()
-            new = np.array([not (h in seen or seen.add(h)) for h in th.tolist()], bool)
-            if not new.any():
-                continue
-            th = th[new]
-            for t, _ in tapes(plain(b["text"].filter(pa.array(new)))):
-                rows, s = sketches(*labelled(t), number)
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(s.reshape(-1).astype(np.int64)), pa.array(np.repeat(th[rows + t.rows.start], number))], names=["bucket", "node"])
+        seen: set[int] = set()  # equal texts of one task are told once; forgotten when large
+        for whole in batches:
+            for at in range(0, whole.num_rows, prefixes.ROWS):
+                b = whole.slice(at, prefixes.ROWS)
+                th = b["_th"].to_numpy(zero_copy_only=False)
+                if len(seen) > 500_000:
+                    seen.clear()
+                new = np.array([not (h in seen or seen.add(h)) for h in th.tolist()], bool)
+                if not new.any():
+                    continue
+                th = th[new]
+                for t, _ in tapes(plain(b["text"].filter(pa.array(new)))):
+                    rows, s = sketches(*labelled(t), number)
+                    if len(rows):
+                        n = np.diff(t.first)
+                        k, first = prefixes.keys(t, ranks, similarity)  # rows without words have no keys
+                        buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, number, np.int32)), pa.array(s.reshape(-1).astype(np.int64)))
+                        raw = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(6 * first[np.append(rows, len(n))]), pa.py_buffer(prefixes.packed(k))])
+                        yield pa.RecordBatch.from_arrays([pa.array(th[rows + t.rows.start]), pa.array(n[rows].astype(np.int32)), raw.cast(pa.binary()), buckets], names=["node", "n", "keys", "buckets"])
 
     return run
 
@@ -137,22 +142,12 @@ def _verified(pairs: DataFrame, codes: DataFrame, similarity: float) -> DataFram
     return both.where(fits).select(F.col("hub").alias("a"), F.col("member").alias("b"))
 
 
-def _listed(keyed: DataFrame, similarity: float) -> DataFrame:
-    """node, n, keys, p0, p1 of each distinct text that has words, for prefixes.pairs; written and read again."""
-    table = prefixes.frequencies(keyed.select(F.col("_id").alias("doc_id"), "text"), word_hashes(F.col("text")))
-
-    def of(h: Column) -> Column:
-        p0, p1 = prefixes.parity(h)
-        return F.when(F.size(h) > 0, F.struct(F.size(h).alias("n"), prefixes.keys(h, table, similarity).alias("keys"), p0.alias("p0"), p1.alias("p1")))
-
-    told = keyed.select(F.col("_th").alias("node"), F.explode(F.transform(F.array(word_hashes(F.col("text"))), of)).alias("_x")).where("_x is not null")
-    return common.stored(told.groupBy("node").agg(F.min("_x").alias("_x")).select("node", "_x.*"))
-
-
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, number: int = SKETCHES) -> DataFrame:
     """doc_id, class_id, _id, _th for each row of docs (doc_id, text); class_id is the smallest doc_id of the class."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *common.row_key("doc_id", "text"))
-    rows = keyed.select("text", "_th").mapInArrow(_buckets(number), "bucket long, node long")
+    ranks = prefixes.frequencies(keyed.select("_th", "text"), plain, similarity)
+    told = common.stored(keyed.select("text", "_th").mapInArrow(_told(number, similarity, ranks), "node long, n int, keys binary, buckets array<long>"))
+    rows = told.select(F.explode("buckets").alias("bucket"), "node")
     shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     ties = rows.join(shared, "bucket").select(F.col("node").alias("member"), F.explode(F.array("low", "high")).alias("hub")).where("member <> hub")
     pairs = common.cut(ties.groupBy("member", "hub").agg(F.count(F.lit(1)).alias("n")))
@@ -176,8 +171,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, number: int =
     if not more.isEmpty():
         edges = edges.union(more)
         roots = common.components(edges)
-    # what the sketches missed, without loss: pairs of different classes that may reach the similarity, by rarest words
-    missed = common.cut(prefixes.pairs(_listed(keyed, similarity).join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), similarity))
+    # what the sketches missed, without loss: pairs of different classes that may reach the similarity, by rarest word pairs
+    listed = told.select("node", "n", "keys").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    missed = common.cut(prefixes.pairs(listed, similarity))
+    common.discard(told)
     if not missed.isEmpty():
         missed = missed.select(F.col("a").alias("member"), F.col("b").alias("hub"))
         rest = common.cut(_verified(missed, codes_of(missed), similarity))

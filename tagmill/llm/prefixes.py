@@ -1,91 +1,201 @@
-"""All pairs of word lists that may reach an edit similarity, without loss: prefix filter over the rarest words.
-
-Of two lists with edit similarity s or more, the shorter (of n words) loses at most floor((1 - s) n) = k words, the
-longer likewise by its own length. Words are put in one order for all lists, rarest first, a repeated word with its
-occurrence number. So the first word that two such lists share is among the first k + 1 of each, and the second among
-the first k + 2. A list has a key for each of its first k + 1 words; where the word is frequent, the key is the word
-with each later one of the first k + 2. Lists longer than `LONG` have single words only, for the pairs would be too
-many; those from s * LONG words on have both, so that the two kinds meet. Any order is right; the order by frequency,
-taken from a sample of texts, keeps buckets small.
-
-Every two lists of a bucket are compared: by root (lists already in one class need no test), length, and 128 bits of
-word parity, of which one edit flips two at most. None of these tests loses a pair. Texts never come near the join,
-and a hot bucket is split by Spark as any skewed join is.
+"""All pairs of word lists that may reach an edit similarity, without loss: prefix filter over the rarest word pairs.
+
+A list of n words has n tokens: each word with the one before it, the first with a mark; a repeated token has its
+occurrence number. One edit changes two tokens of a list at most, so of two lists with edit similarity s or more each
+loses at most floor(2 (1 - s) n) of its n tokens, by its own length. Tokens are put in one order for all lists, rarest
+first. So the c smallest tokens that two such lists share are among the first floor(2 (1 - s) n) + c of each. A list has
+these as keys, with c = 1 + n div 32; two lists are a pair if they share as many keys as the smaller c says. Below
+similarity 0.75 single words are the tokens. Any order is right; the order by frequency, taken from a sample of texts,
+keeps buckets small.
+
+Keys are dealt into parts, packed as bytes, and each part is sorted as arrays. Lists of different roots that share a key
+are counted (lists already in one class need no test, and cost nothing), where lengths allow the similarity. Keys have
+48 bits; a collision can only add a pair. All pairs of a key are made in one task, in bounded portions.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from .wordtape import Tape, mix, pair, tapes
 
-#: Runs of ASCII characters that are neither letters nor digits.
-BETWEEN = r"[\x00-/:-@\x5b-`{-\x7f]+"
-SAMPLE, CELLS, CROWD, LONG = 8192, 1 << 17, 64, 200
+SAMPLE, CELLS, WORD_CELLS, SHARE, ROWS, PORTION = 8192, 1 << 22, 1 << 17, 32, 1 << 15, 4_000_000
+_U = np.uint64
+_LOW48 = _U((1 << 48) - 1)
 
 
-def _rank(count: int) -> int:
-    return min(255, round(8 * math.log2(1 + count)))
+def _size(similarity: float) -> int:
+    return 2 if similarity >= 0.75 else 1
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(F.array_remove(F.split(common.spaced(F.lower(text)), BETWEEN), ""), lambda w: F.xxhash64(w))
+def least(n: np.ndarray) -> np.ndarray:
+    """How many keys a list of n words shares with any similar one that is not shorter."""
+    return 1 + n // SHARE
 
 
-def frequencies(docs: DataFrame, hashes: Column) -> Column:
-    """A byte for each of CELLS cells of words: how frequent they are in docs, from some SAMPLE of its rows."""
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
-    table = bytearray(CELLS)
-    for r in some.select(F.explode(hashes).alias("w")).groupBy(F.pmod("w", F.lit(CELLS)).cast("int").alias("c")).count().collect():
-        table[r["c"]] = _rank(r["count"] * every)
-    return F.lit(table)
-
-
-def _let(value: Column, body) -> Column:  # noqa: ANN001
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
+def tokens(t: Tape, size: int) -> np.ndarray:
+    if size == 1 or not len(t.words):
+        return t.words
+    before = np.empty_like(t.words)
+    before[1:] = t.words[:-1]
+    before[t.first[:-1][np.diff(t.first) > 0]] = _U(7)
+    return pair(before, t.words)
 
-def keys(h: Column, table: Column, similarity: float) -> Column:
-    """The buckets of a list of word hashes. h must be a column or a bound variable."""
-    rank = lambda x: F.substring(table, (F.pmod(x, F.lit(CELLS)) + 1).cast("int"), F.lit(1))
-    ranked = lambda x, token: F.struct(rank(x).alias("r"), token.alias("x"))
-    # the n-th occurrence of a word has the word's rank and a hash of its own
-    place = lambda s: F.transform(s, lambda x, i: F.struct(x.alias("x"), (i + 1 - F.array_position(s, x)).alias("o")))
-    numbered = _let(F.sort_array(h), lambda s: F.transform(place(s), lambda t: ranked(t["x"], F.when(t["o"] == 0, t["x"]).otherwise(F.xxhash64(t["x"], t["o"])))))
-    tokens = F.when(F.size(F.array_distinct(h)) == F.size(h), F.transform(h, lambda x: ranked(x, x))).otherwise(numbered)
-    n = F.size(h)
-    k = F.floor(n * (1 - similarity) + 1e-9).cast("int")
-    rare = F.lit(bytearray([_rank(CROWD)]))
 
-    def of(p: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            alone = (t["r"] <= rare) | (n - k < 2) | (n > LONG)
-            pairs = F.transform(F.slice(p, i + 2, F.size(p)), lambda u: F.xxhash64(t["x"], u["x"]))
-            both = F.when(n > math.floor(similarity * LONG), F.concat(F.array(t["x"]), pairs)).otherwise(pairs)
-            return F.when(alone, F.array(t["x"])).otherwise(both)
+def frequencies(docs: DataFrame, plain: Callable, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each cell of tokens, and of words: how frequent they are in docs (_th, text), from some SAMPLE of its rows."""
+    size = _size(similarity)
 
-        return F.flatten(F.transform(F.slice(p, F.lit(1), k + 1), one))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(CELLS + WORD_CELLS, np.int32)
+        for b in batches:
+            for t, _ in tapes(plain(b["text"])):
+                held[:CELLS] += np.bincount((tokens(t, size) % _U(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
+                held[CELLS:] += np.bincount((t.words % _U(WORD_CELLS)).astype(np.int64), minlength=WORD_CELLS).astype(np.int32)
+        cells = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(held[cells].astype(np.int64))], names=["cell", "n"])
 
-    return F.array_distinct(_let(F.slice(F.sort_array(tokens), F.lit(1), k + 2), of))
-
-
-def parity(h: Column) -> list[Column]:
-    """Two longs: whether the words that fall on each of 128 bits are odd in number."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    half = lambda which: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(F.lit(64)) == which, a.bitwiseXOR(bit(x))).otherwise(a))
-    return [half(0), half(64)]
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("_th"), F.lit(every)) == 0).select("text").mapInArrow(run, "cell int, n long")
+    got = some.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    ranks = np.zeros(CELLS + WORD_CELLS, np.uint8)
+    ranks[got["cell"].to_numpy()] = np.minimum(255, np.round(10 * np.log2(1 + got["n"].to_numpy())))
+    return ranks[:CELLS], ranks[CELLS:]
+
+
+def keys(t: Tape, ranks: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a tape's rows (below 2 ** 16 rows) and where each row's keys begin."""
+    n = np.diff(t.first)
+    size = _size(similarity)
+    of, of_word = ranks
+    token = tokens(t, size)
+    word = of_word[(t.words % _U(WORD_CELLS)).astype(np.int64)]
+    rank = of[(token % _U(CELLS)).astype(np.int64)].astype(_U)
+    row = t.row_of()
+    # a row's tokens by rank of the token, then of its last word; of those alike, by hash
+    order = (row.astype(_U) << _U(48)) | (rank << _U(40)) | (word.astype(_U) << _U(32)) | (mix(token) >> _U(32))
+    order.sort()
+    place = np.arange(len(order))
+    again = np.append(False, order[1:] == order[:-1]) if len(order) else np.zeros(0, bool)
+    nth = place - np.maximum.accumulate(np.where(again, 0, place)) if len(order) else place
+    count = np.minimum(n, np.floor(n * (size * (1 - similarity)) + 1e-9).astype(np.int64) + least(n))
+    kept = place - t.first[row] < count[row]
+    return mix((order[kept] & _LOW48) + nth[kept].astype(_U) * _U(0x9E3779B97F4A7C15)) & _LOW48, np.append(0, np.cumsum(count))
+
+
+def packed(k: np.ndarray) -> np.ndarray:
+    """48-bit keys as six bytes each."""
+    return np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
+
+
+def _unpacked(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    buf = column.buffers()[2]
+    data = np.frombuffer(buf, np.uint8) if buf is not None and buf.size else np.zeros(0, np.uint8)
+    return data[at[0] : at[-1]], np.diff(at)
+
+
+def _dealt(parts: int) -> Callable:
+    """Rows (node, root, n, keys) to rows (part, lists, entries): the lists with a key in the part, and (key, list) entries."""
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        node, root, n, key, of = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = (key % _U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        key, of, part = key[order], of[order], part[order]
+        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
+            here, local = np.unique(of[x:y], return_inverse=True)
+            lists = np.rec.fromarrays([node[here], root[here], n[here]], dtype=[("node", "<i8"), ("root", "<i8"), ("n", "<i4")]).tobytes()
+            entries = np.rec.fromarrays([key[x:y] // _U(parts) & _U(0xFFFFFFFF), local], dtype=[("key", "<u4"), ("of", "<u4")]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[x])], pa.int32()), pa.array([lists], pa.binary()), pa.array([entries], pa.binary())], names=["part", "lists", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lists, size = [], 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raw, lengths = _bytes(b["keys"])
+            of = np.repeat(np.arange(lists, lists + b.num_rows), lengths // 6)
+            held.append((b["node"].to_numpy(), b["root"].to_numpy(), b["n"].to_numpy(), _unpacked(raw), of))
+            lists, size = lists + b.num_rows, size + len(of)
+            if size > PORTION:
+                yield from flush(held)
+                held, lists, size = [], 0, 0
+        if size:
+            yield from flush(held)
+
+    return run
+
+
+def _counted(lists: np.ndarray, key: np.ndarray, of: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, shared keys) of the lists of different roots in one part; a pair may come several times, its counts add up."""
+    node, at = np.unique(lists["node"], return_inverse=True)
+    root, n = np.empty(len(node), np.int64), np.empty(len(node), np.int64)
+    root[at], n[at] = lists["root"], lists["n"]
+    of = at[of]
+    order = np.lexsort((of, root[of], key))
+    key, of = key[order], of[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))
+    key, of = key[new], of[new]
+    r = root[of]
+
+    def ends(first: np.ndarray) -> np.ndarray:
+        begin = np.flatnonzero(first)
+        end = np.append(begin[1:], len(first))
+        return np.repeat(end, end - begin)
+
+    bucket = np.append(True, key[1:] != key[:-1])
+    start, end = ends(bucket | np.append(True, r[1:] != r[:-1])), ends(bucket)
+    left = np.flatnonzero(end > start)
+    many = end[left] - start[left]
+    total = np.cumsum(many)
+    x = 0
+    while x < len(left):
+        y = max(x + 1, int(np.searchsorted(total, (total[x - 1] if x else 0) + PORTION, "right")))
+        m = many[x:y]
+        a = of[np.repeat(left[x:y], m)]
+        b = of[np.repeat(start[left[x:y]] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        fits = np.abs(n[a] - n[b]) <= np.floor(np.maximum(n[a], n[b]) * (1 - similarity) + 1e-9)
+        a, b = a[fits], b[fits]
+        got, c = np.unique(np.minimum(a, b) * len(node) + np.maximum(a, b), return_counts=True)
+        a, b = got // len(node), got % len(node)
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(c.astype(np.int64)), pa.array(least(np.minimum(n[a], n[b])))], names=["a", "b", "c", "least"])
+        x = y
+
+
+def _meet(similarity: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for part, lists, entries in zip(*(b[c].to_pylist() for c in ("part", "lists", "entries")), strict=True):
+                held.setdefault(part, []).append((np.frombuffer(lists, [("node", "<i8"), ("root", "<i8"), ("n", "<i4")]), np.frombuffer(entries, [("key", "<u4"), ("of", "<u4")])))
+        while held:
+            pieces = held.popitem()[1]
+            base = np.cumsum([0, *(len(x) for x, _ in pieces)])
+            lists = np.concatenate([x for x, _ in pieces])
+            key = np.concatenate([e["key"] for _, e in pieces])
+            of = np.concatenate([e["of"].astype(np.int64) + k for (_, e), k in zip(pieces, base, strict=False)])
+            yield from _counted(lists, key, of, similarity)
+
+    return run
 
 
 def pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) to verify, a < b, of rows (node, root, n, keys, p0, p1)."""
-    flat = rows.select(F.explode("keys").alias("bucket"), "node", "root", "n", "p0", "p1")
-    a, b = flat.alias("a"), flat.alias("b")
-    most = F.floor(F.greatest("a.n", "b.n") * (1 - similarity) + 1e-9)
-    flips = F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) + F.bit_count(F.col("a.p1").bitwiseXOR(F.col("b.p1")))
-    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (flips <= 2 * most)
-    return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    """Pairs (a, b) to verify, a < b, of rows (node, root, n, keys); keys are packed, and a node may come several times."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.select("node", "root", "n", "keys").mapInArrow(_dealt(parts), "part int, lists binary, entries binary").repartition(parts, "part")
+    counted = dealt.mapInArrow(_meet(similarity), "a long, b long, c long, least long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least"))
+    return counted.where("c >= least").select("a", "b")

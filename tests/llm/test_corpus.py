@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagmill.llm import common, decontaminate, exact_topk, line_dedup, order_minhash, substring_dedup, wordtape
+from tagmill.llm import common, decontaminate, exact_topk, line_dedup, order_minhash, prefixes, substring_dedup, wordtape
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
@@ -213,6 +213,46 @@ def test_near_classes_lose_no_pair(spark, n):
     assert sorted(sorted(g) for g in classes.values()) == [list(range(9 * k, 9 * k + 9)) for k in range(4)]
 
 
+def test_few_unrelated_texts_are_compared(spark):
+    """Long texts over one small vocabulary, and pairs of similarity 0.8: all of these are candidates, and few others."""
+    rng = random.Random(8)
+    texts = [words_text(rng, n, 2000).split() for n in [400] * 150 + [60] * 150]
+    for k in range(0, 300, 10):
+        w = list(texts[k])
+        for i in rng.sample(range(len(w)), len(w) // 5):
+            w[i] = f"x{rng.randrange(10**6)}"
+        texts.append(w)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "_th long, text string")
+    ranks = prefixes.frequencies(docs, order_minhash.plain, 0.8)
+    told = docs.mapInArrow(order_minhash._told(4, 0.8, ranks), "node long, n int, keys binary, buckets array<long>")
+    got = {(r["a"], r["b"]) for r in prefixes.pairs(told.withColumn("root", F.col("node")), 0.8).collect()}
+    assert got >= {(10 * k, 300 + k) for k in range(30)}
+    assert len(got) < 300
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_candidates_lose_no_pair(spark, similarity):
+    """Repeated words, insertions and deletions, lengths from one word on."""
+    rng = random.Random(9)
+    texts = []
+    for n in [*range(1, 40), 90, 200]:
+        base = [f"w{rng.randrange(8)}" for _ in range(n)]
+        texts.append(base)
+        for _ in range(4):
+            w = list(base)
+            for _ in range(math.floor(n * (1 - similarity) + 1e-9)):
+                i = rng.randrange(len(w) + 1)
+                w[i : i + rng.randrange(2)] = [f"w{rng.randrange(8)}"] * rng.randrange(2)
+            texts.append(w)
+    texts = sorted({tuple(w) for w in texts if w})
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "_th long, text string").repartition(3)
+    ranks = prefixes.frequencies(docs, order_minhash.plain, similarity)
+    told = docs.mapInArrow(order_minhash._told(4, similarity, ranks), "node long, n int, keys binary, buckets array<long>")
+    got = {(r["a"], r["b"]) for r in prefixes.pairs(told.withColumn("root", F.col("node")), similarity).collect()}
+    near = {(a, b) for b in range(len(texts)) for a in range(b) if distance(texts[a], texts[b]) <= (1 - similarity) * max(len(texts[a]), len(texts[b])) + 1e-9}
+    assert len(near) > 100 and got >= near
+
+
 def test_order_counts(spark):
     """The same shingles in another order are not a near-duplicate."""
     rng = random.Random(2)
