@@ -31,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -140,8 +140,9 @@ def tempered(docs: DataFrame, exponent: float = 0.5, max_sources: int = MAX_SOUR
     return {r["source"]: r["count"] ** exponent / total for r in sizes}
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, max_sources: int = MAX_SOURCES, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """docs with block, slot and place added: the order of the mix is (slot, place)."""
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, max_sources: int = MAX_SOURCES, broadcast_entries: int = BROADCAST_ENTRIES, by: Column | None = None) -> DataFrame:
+    """docs with block, slot and place added: the order of the mix is (slot, place). Rows of a source come in the order of `by`, a
+    hash (of doc_id and text if not given), so that docs may come without text."""
     spark = docs.sparkSession
     sizes = _sizes(docs, max_sources)
     sizes.sort(key=lambda r: (r["source"] is not None, r["source"] or ""))
@@ -154,7 +155,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     names = spark.createDataFrame([(r["source"], k) for k, r in enumerate(sizes)], "_source string, _k int")
     buckets = max(1, min(65536, sum(r["count"] for r in sizes) // 1000))
     outputs = ("block", "slot", "place")
-    keyed = docs.select("source", "doc_id", common.boxed(docs, *outputs), F.xxhash64("doc_id", "text").alias("_h")).withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(buckets)))
+    keyed = docs.select("source", "doc_id", common.boxed(docs, *outputs), (F.xxhash64("doc_id", "text") if by is None else by).alias("_h")).withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(buckets)))
     counts = keyed.groupBy("source", "_b").count()
     before = counts.select(F.col("source").alias("_s"), F.col("_b").alias("_c"), (F.sum("count").over(Window.partitionBy("source").orderBy("_b")) - F.col("count")).alias("_before"))
     numbered = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("source", "_b").orderBy("_h", "doc_id")) - 1)

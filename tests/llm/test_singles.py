@@ -11,7 +11,7 @@ from zlib import crc32
 import pytest
 from pyspark.sql import functions as F
 
-from tagmill.llm import html_extract, mixing, quality_fm, secret_scan, surrogates
+from tagmill.llm import common, html_extract, mixing, quality_fm, queries, secret_scan, surrogates
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
@@ -278,6 +278,14 @@ def test_deviation_from_the_weights_asked_for_does_not_grow():
         assert all(-1 - 1e-6 < i - t * w and i + 1 - (t + 1) * w < 1 + 1e-6 for i, t in enumerate(ts) if t < end)
 
 
+def test_the_mixing_query_shuffles_no_texts(spark):
+    docs = common.table(spark, SF, "documents")
+    got = queries.op8_mixing(spark, SF)
+    whole = mixing.mix(docs, mixing.tempered(docs)).select("doc_id", "source", "block", "slot", "place")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    assert "text, text#" not in got._jdf.queryExecution().executedPlan().treeString()  # no struct that holds it
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0
