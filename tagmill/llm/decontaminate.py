@@ -12,8 +12,8 @@ don't count; the others of the alignment do. An item is found in a document if 0
 
 Texts are cut into windows in one pass, whatever the benchmark's size. Up to `portion` windows of the benchmark are
 broadcast; more meet the windows of texts in a shuffled join, after a broadcast table of a million cells at most has
-let through those whose cell a benchmark window has. Only windows found are shuffled; texts cross the network once, to
-compare slots where windows were found.
+let through those whose cell a benchmark window has. Only windows found are shuffled; the texts with enough windows of an
+item cross the network once, to compare slots, and a few others whose hash falls on a cell of theirs.
 
 Null texts count as empty, very long ones are read whole. Items of fewer than five words match nothing; each letter of a
 script without spaces is a word. A repeated row gives its result once; rows with one doc_id and different texts are told
@@ -75,7 +75,8 @@ def found_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARIT
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *common.row_key("doc_id", "text"))
     worded = keyed.select("_id", "_th", template_words(F.col("text")).alias("words"))
     bench = common.cut(items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), template_words(F.col("text")).alias("iw"), F.xxhash64("text").alias("ih")).distinct())
-    grams = common.cut(_exploded(bench, ["item_id", "ih"], "iw", size))
+    n_windows = F.greatest(F.size("iw") - F.lit(size - 1), F.lit(1))
+    grams = common.cut(_exploded(bench.withColumn("n_windows", n_windows), ["item_id", "ih", "n_windows"], "iw", size))
     few = grams.count() <= portion
     listed = _exploded(worded, ["_id", "_th"], "words", size).withColumnRenamed("at", "p")
     if not few:
@@ -83,17 +84,22 @@ def found_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARIT
         cell = F.pmod("w", F.lit(CELLS)).cast("int")
         listed = listed.withColumn("_cell", cell).join(F.broadcast(grams.select(cell.alias("_cell")).distinct()), "_cell", "left_semi")
     asked = grams.withColumnRenamed("at", "q")
-    hits = listed.join(F.broadcast(asked) if few else asked, "w").select("_id", "_th", "p", "item_id", "ih", "q").distinct()
-    by_doc = common.cut(hits.groupBy("_id", "_th").agg(F.collect_list(F.struct("p", "item_id", "ih", "q")).alias("hits")))
-    # slots, only in documents with hits
-    texts = keyed.select("_id", "_th", "doc_id", "text").join(by_doc, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+    hits = listed.join(F.broadcast(asked) if few else asked, "w").select("_id", "_th", "p", "item_id", "ih", "q", "n_windows").distinct()
+    # slots can only take windows away: an item of which too few are hit is not found, and its text need not be read
+    enough = hits.groupBy("_id", "_th", "item_id", "ih", "n_windows").agg(F.collect_list(F.struct("p", "item_id", "ih", "q")).alias("at"))
+    enough = enough.where(F.size(F.array_distinct(F.transform("at", lambda x: x["q"]))) / F.col("n_windows") >= similarity)
+    by_doc = common.cut(enough.groupBy("_id", "_th").agg(F.flatten(F.collect_list("at")).alias("hits")))
+    # slots, only in documents with hits; a broadcast table of CELLS cells at most keeps the other texts out of the shuffle
+    place = F.pmod(F.xxhash64("_id", "_th"), F.lit(CELLS)).cast("int")
+    asked_for = keyed.select("_id", "_th", "doc_id", "text").withColumn("_cell", place).join(F.broadcast(by_doc.select(place.alias("_cell")).distinct()), "_cell", "left_semi").drop("_cell")
+    texts = asked_for.join(by_doc, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
     near = texts.select("doc_id", "_id", "_th", template_words(F.col("text")).alias("words"), "hits")
     cut_out = F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), x["ih"].alias("ih"), x["p"].alias("p"), x["q"].alias("q"), F.slice("words", x["p"] + 1, size).alias("dw")))
     pairs = near.select("doc_id", "_id", "_th", F.explode(cut_out).alias("x")).select("doc_id", "_id", "_th", "x.*")
     with_items = pairs.join(bench, ["item_id", "ih"])
     is_slot = lambda x: x.rlike("^q(num|unit|name)q")
     slots = F.filter(F.zip_with(F.slice("iw", F.col("q") + 1, size), F.col("dw"), lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda s: is_slot(s["i"]) & is_slot(s["d"]))
-    lines = with_items.select("doc_id", "_id", "_th", "item_id", "ih", "q", (F.col("p") - F.col("q")).alias("diagonal"), slots.alias("slots"), F.greatest(F.size("iw") - F.lit(size - 1), F.lit(1)).alias("n_windows"))
+    lines = with_items.select("doc_id", "_id", "_th", "item_id", "ih", "q", (F.col("p") - F.col("q")).alias("diagonal"), slots.alias("slots"), n_windows.alias("n_windows"))
     # the windows of one alignment, and its votes: how often each thing of the item stands for each of the document
     tested = lines.groupBy("doc_id", "_id", "_th", "item_id", "ih", "n_windows", "diagonal").agg(F.collect_list(F.struct("q", "slots")).alias("ws"), F.flatten(F.collect_list("slots")).alias("votes"))
     cast = tested.withColumn("kinds", F.array_distinct("votes"))

@@ -451,6 +451,18 @@ def test_unspaced_scripts_in_lines_texts_and_items(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(df).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def test_texts_with_too_few_windows_stay_where_they_are(spark):
+    """Half an item is in all documents: none of these texts is joined with hits, the one that holds the whole item is."""
+    item = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+    half = " ".join(item.split()[:8])
+    docs = spark.createDataFrame([(k, f"x{k} {half} y{k}") for k in range(200)] + [(200, f"so {item} then")], DOC)
+    found = decontaminate.found_items(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [r["doc_id"] for r in found.collect()] == [200]
+    plan = found._jdf.queryExecution().executedPlan().treeString()
+    semi = [x for x in plan.splitlines() if "LeftSemi" in x]
+    assert semi and "_cell" in semi[0]
+
+
 def test_benchmark_of_nothing(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f")], DOC), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.found_items(docs.limit(0), items).count() == 0
