@@ -362,6 +362,21 @@ def test_a_crowded_bucket_is_compared_whole(spark):
     assert len(set(root.values())) == 150
 
 
+def test_no_line_pair_is_lost_to_chance(spark):
+    """Every fifth word changed, so that few runs of words are left: all of 600 pairs are found, none by luck of a hash."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(600):
+        base = words_text(rng, 15 + 5 * (k % 10), 100_000).split()
+        other = [f"x{rng.randrange(10**6)}" if i % 5 == 2 else w for i, w in enumerate(base)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, DOC)
+    at = line_dedup.lines(docs)
+    root = {r["node"]: r["root"] for r in line_dedup.classes(at, docs).collect()}
+    key = {r["_id"]: r["_key"] for r in at.collect()}
+    assert [i for i in range(0, 1200, 2) if key[i] not in root or root[key[i]] != root.get(key[i + 1])] == []
+
+
 def test_short_lines_repeat_exactly(spark):
     rows = [(1, "All rights reserved.\n你好世界。\n---\n\n yes no"), (2, "all rights reserved\n你好世界。\n---\n\nyes no!"), (3, "all rights\n\n****\n")]
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOC), short=True).collect()}
