@@ -377,6 +377,41 @@ def test_no_line_pair_is_lost_to_chance(spark):
     assert [i for i in range(0, 1200, 2) if key[i] not in root or root[key[i]] != root.get(key[i + 1])] == []
 
 
+def test_the_search_lets_go_of_what_it_has_read(spark, monkeypatch):
+    """The table of all buckets is gone before lines are compared, the table of shared buckets before classes are joined."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(40):
+        base = words_text(rng, 20, 40).split()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:18], f"x{k}", f"y{k}"]))]
+    docs = spark.createDataFrame(rows, DOC)
+    events, discard, verified, mixed = [], common.discard, line_dedup._verified, line_dedup._mixed
+    monkeypatch.setattr(common, "discard", lambda df: (events.append(tuple(df.columns)), discard(df))[1])
+    monkeypatch.setattr(line_dedup, "_verified", lambda *a: (events.append("verify"), verified(*a))[1])
+    monkeypatch.setattr(line_dedup, "_mixed", lambda *a: (events.append("mixed"), mixed(*a))[1])
+    line_dedup.line_dedup(docs).count()
+    wide = next(k for k, e in enumerate(events) if "_buckets" in e and "_id" in e and k > 0)
+    assert wide < events.index("verify")
+    assert events.index(("bucket", "node", "_f")) == events.index("mixed") + 1
+
+
+def test_hot_buckets_are_compared_whole(spark, monkeypatch):
+    """Buckets above the share of hot ones are not sorted in one task, and lose no pair."""
+    monkeypatch.setattr(line_dedup, "CROWD", 20)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 10**9)
+    rng = random.Random(9)
+    stem, rows = [f"s{k}" for k in range(10)], []
+    for _ in range(40):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(6)]
+        rows += [(len(rows), " ".join(stem + own)), (len(rows) + 1, " ".join([*stem, *own[:3], *[f"o{rng.randrange(10**6)}" for _ in range(3)]]))]
+    docs = spark.createDataFrame(rows, DOC)
+    at = line_dedup.lines(docs)
+    root = {r["node"]: r["root"] for r in line_dedup.classes(at, docs).collect()}
+    key = {r["_id"]: r["_key"] for r in at.collect()}
+    assert all(key[i] in root and root[key[i]] == root.get(key[i + 1]) for i in range(0, 80, 2))
+    assert len(set(root.values())) == 40
+
+
 def test_short_lines_repeat_exactly(spark):
     rows = [(1, "All rights reserved.\n你好世界。\n---\n\n yes no"), (2, "all rights reserved\n你好世界。\n---\n\nyes no!"), (3, "all rights\n\n****\n")]
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOC), short=True).collect()}
