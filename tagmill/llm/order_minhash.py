@@ -98,7 +98,7 @@ def sketches(labels: np.ndarray, first: np.ndarray, number: int = SKETCHES) -> t
     return rows, out
 
 
-def _told(number: int, similarity: float, ranks: tuple[np.ndarray, np.ndarray]):  # noqa: ANN202
+def _told(number: int, similarity: float, ranks: tuple[np.ndarray, np.ndarray], signed: bool = False):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal texts of one task are told once; forgotten when large
         for whole in batches:
@@ -118,7 +118,10 @@ def _told(number: int, similarity: float, ranks: tuple[np.ndarray, np.ndarray]):
                         k, first = prefixes.keys(t, ranks, similarity)  # rows without words have no keys
                         buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, number, np.int32)), pa.array(s.reshape(-1).astype(np.int64)))
                         raw = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(6 * first[np.append(rows, len(n))]), pa.py_buffer(prefixes.packed(k))])
-                        yield pa.RecordBatch.from_arrays([pa.array(th[rows + t.rows.start]), pa.array(n[rows].astype(np.int32)), raw.cast(pa.binary()), buckets], names=["node", "n", "keys", "buckets"])
+                        out = {"node": pa.array(th[rows + t.rows.start]), "n": pa.array(n[rows].astype(np.int32)), "keys": raw.cast(pa.binary()), "buckets": buckets}
+                        if signed:
+                            out["signs"] = pa.array([x for x, many in zip(prefixes.signs(t), n.tolist(), strict=True) if many], pa.binary())
+                        yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -146,7 +149,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, number: int =
     """doc_id, class_id, _id, _th for each row of docs (doc_id, text); class_id is the smallest doc_id of the class."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *common.row_key("doc_id", "text"))
     ranks = prefixes.frequencies(keyed.select("_th", "text"), plain, similarity)
-    told = common.stored(keyed.select("text", "_th").mapInArrow(_told(number, similarity, ranks), "node long, n int, keys binary, buckets array<long>"))
+    told = common.stored(keyed.select("text", "_th").mapInArrow(_told(number, similarity, ranks, True), "node long, n int, keys binary, buckets array<long>, signs binary"))
     rows = told.select(F.explode("buckets").alias("bucket"), "node")
     shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     ties = rows.join(shared, "bucket").select(F.col("node").alias("member"), F.explode(F.array("low", "high")).alias("hub")).where("member <> hub")
@@ -173,7 +176,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, number: int =
         roots = common.components(edges)
     # what the sketches missed, without loss: pairs of different classes that may reach the similarity, by rarest word pairs
     listed = told.select("node", "n", "keys").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    missed = common.cut(prefixes.pairs(listed, similarity))
+    signed = told.select("node", "n", "signs").dropDuplicates(["node"])
+    missed = common.cut(prefixes.likely(prefixes.pairs(listed, similarity), signed, similarity))
     common.discard(told)
     if not missed.isEmpty():
         missed = missed.select(F.col("a").alias("member"), F.col("b").alias("hub"))

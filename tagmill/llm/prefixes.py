@@ -10,7 +10,11 @@ keeps buckets small.
 
 Keys are dealt into parts, packed as bytes, and each part is sorted as arrays. Lists of different roots that share a key
 are counted (lists already in one class need no test, and cost nothing), where lengths allow the similarity. Keys have
-48 bits; a collision can only add a pair. All pairs of a key are made in one task, in bounded portions.
+48 bits; a collision can only add a pair. Copies of one text share hundreds of keys, in all parts; so keys whose lists make
+more than `CROWD` pairs are dealt once more, by their largest class, and what two lists share there is counted in one task
+and told in one row. All pairs of a key are made in one task, in bounded portions.
+
+A pair is thinned out by signs(): an edit changes the parity of two words' counts at most, an insertion or deletion of one.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .wordtape import Tape, mix, pair, tapes
 
-SAMPLE, CELLS, WORD_CELLS, SHARE, ROWS, PORTION = 8192, 1 << 22, 1 << 17, 32, 1 << 15, 4_000_000
+SAMPLE, CELLS, WORD_CELLS, SHARE, ROWS, PORTION, CROWD = 8192, 1 << 22, 1 << 17, 32, 1 << 15, 4_000_000, 16
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
 
@@ -93,6 +98,42 @@ def packed(k: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
 
 
+def signs(t: Tape) -> list[bytes]:
+    """For each row the parities of how many of its words fall on each of so many bits: a power of two, four a word or more."""
+    out = []
+    h = mix(t.words)
+    for x, y in zip(t.first[:-1].tolist(), t.first[1:].tolist(), strict=True):
+        bits = max(64, 1 << (4 * (y - x) - 1).bit_length())
+        odd = np.bincount((h[x:y] & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return out
+
+
+def _flips(x: bytes, y: bytes) -> int:
+    """How many parities differ; the longer row of bits is folded, which is what fewer bits would have held."""
+    p, q = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(p ^ np.bitwise_xor.reduce(q.reshape(-1, len(p)), 0)).sum())
+
+
+def _likely(similarity: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b["_n"].to_numpy(), b["_m"].to_numpy()
+            # of k edits at most, |n - m| at least change one parity only
+            most = 2 * np.floor(np.maximum(n, m) * (1 - similarity) + 1e-9) - np.abs(n - m)
+            flips = [_flips(x, y) for x, y in zip(b["_x"].to_pylist(), b["_y"].to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(np.array(flips, float) <= most))
+
+    return run
+
+
+def likely(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) that the parities of signed (node, n, signs) allow; no similar one is turned away."""
+    one = pairs.join(signed.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("signs").alias("_x")), "a")
+    both = one.join(signed.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("signs").alias("_y")), "b")
+    return both.select("a", "b", "_n", "_m", "_x", "_y").mapInArrow(_likely(similarity), "a long, b long")
+
+
 def _unpacked(raw: np.ndarray) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = raw.reshape(-1, 6)
@@ -140,8 +181,13 @@ def _dealt(parts: int) -> Callable:
     return run
 
 
-def _counted(lists: np.ndarray, key: np.ndarray, of: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, shared keys) of the lists of different roots in one part; a pair may come several times, its counts add up."""
+_LIST = [("node", "<i8"), ("root", "<i8"), ("n", "<i4")]
+_COUNTS = ["a", "b", "c", "least"]
+
+
+def _counted(lists: np.ndarray, key: np.ndarray, of: np.ndarray, similarity: float, crowd: int | None) -> Iterator[tuple[list, list | None]]:
+    """([a, b, shared keys, least], None) of the lists of different roots in one part; a pair may come several times, its counts
+    add up. Of keys with more than `crowd` pairs ([], [largest class, lists]) instead."""
     node, at = np.unique(lists["node"], return_inverse=True)
     root, n = np.empty(len(node), np.int64), np.empty(len(node), np.int64)
     root[at], n[at] = lists["root"], lists["n"]
@@ -159,7 +205,17 @@ def _counted(lists: np.ndarray, key: np.ndarray, of: np.ndarray, similarity: flo
 
     bucket = np.append(True, key[1:] != key[:-1])
     start, end = ends(bucket | np.append(True, r[1:] != r[:-1])), ends(bucket)
+    if crowd is not None:
+        first = np.flatnonzero(bucket)
+        many = np.add.reduceat(end - start, first) > crowd
+        for x in first[many].tolist():
+            y = int(end[x])
+            roots, sizes = np.unique(r[x:y], return_counts=True)
+            held = np.rec.fromarrays([node[of[x:y]], r[x:y], n[of[x:y]]], dtype=_LIST).tobytes()
+            yield [], [int(roots[np.argmax(sizes)]), held]
+        start = np.where(np.repeat(many, np.diff(np.append(first, len(key)))), end, start)
     left = np.flatnonzero(end > start)
+    left = left[np.argsort(of[left], kind="stable")]  # all pairs of a list in one portion, so far as it holds them
     many = end[left] - start[left]
     total = np.cumsum(many)
     x = 0
@@ -172,23 +228,61 @@ def _counted(lists: np.ndarray, key: np.ndarray, of: np.ndarray, similarity: flo
         a, b = a[fits], b[fits]
         got, c = np.unique(np.minimum(a, b) * len(node) + np.maximum(a, b), return_counts=True)
         a, b = got // len(node), got % len(node)
-        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(c.astype(np.int64)), pa.array(least(np.minimum(n[a], n[b])))], names=["a", "b", "c", "least"])
+        yield [node[a], node[b], c.astype(np.int64), least(np.minimum(n[a], n[b]))], None
         x = y
 
 
 def _meet(similarity: float) -> Callable:
+    """Rows (a, b, c, least) of pairs, and (hub, lists) of crowds, the other columns null."""
+    names = [*_COUNTS, "hub", "lists"]
+
+    def told(crowds: list) -> pa.RecordBatch:
+        none = pa.nulls(len(crowds), pa.int64())
+        return pa.RecordBatch.from_arrays([none] * 4 + [pa.array([h for h, _ in crowds], pa.int64()), pa.array([x for _, x in crowds], pa.binary())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
             for part, lists, entries in zip(*(b[c].to_pylist() for c in ("part", "lists", "entries")), strict=True):
-                held.setdefault(part, []).append((np.frombuffer(lists, [("node", "<i8"), ("root", "<i8"), ("n", "<i4")]), np.frombuffer(entries, [("key", "<u4"), ("of", "<u4")])))
+                held.setdefault(part, []).append((np.frombuffer(lists, _LIST), np.frombuffer(entries, [("key", "<u4"), ("of", "<u4")])))
         while held:
             pieces = held.popitem()[1]
             base = np.cumsum([0, *(len(x) for x, _ in pieces)])
             lists = np.concatenate([x for x, _ in pieces])
             key = np.concatenate([e["key"] for _, e in pieces])
             of = np.concatenate([e["of"].astype(np.int64) + k for (_, e), k in zip(pieces, base, strict=False)])
-            yield from _counted(lists, key, of, similarity)
+            crowds = []
+            for counts, crowd in _counted(lists, key, of, similarity, CROWD):
+                if crowd is not None:
+                    crowds.append(crowd)
+                    if len(crowds) < 256:
+                        continue
+                if crowds:
+                    yield told(crowds)
+                    crowds = []
+                if counts:
+                    none = [pa.nulls(len(counts[0]), pa.int64()), pa.nulls(len(counts[0]), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in counts] + none, names=names)
+            if crowds:
+                yield told(crowds)
+
+    return run
+
+
+def _crowds(similarity: float) -> Callable:
+    """The pairs of crowds (hub, lists); those of one hub are counted together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for hub, lists in zip(b["hub"].to_pylist(), b["lists"].to_pylist(), strict=True):
+                held.setdefault(hub, []).append(np.frombuffer(lists, _LIST))
+        while held:
+            pieces = held.popitem()[1]
+            lists, of = np.unique(np.concatenate(pieces), return_inverse=True)
+            key = np.repeat(np.arange(len(pieces)), [len(x) for x in pieces])
+            for counts, _ in _counted(lists, key, of, similarity, None):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in counts], names=_COUNTS)
 
     return run
 
@@ -197,5 +291,10 @@ def pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) to verify, a < b, of rows (node, root, n, keys); keys are packed, and a node may come several times."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.select("node", "root", "n", "keys").mapInArrow(_dealt(parts), "part int, lists binary, entries binary").repartition(parts, "part")
-    counted = dealt.mapInArrow(_meet(similarity), "a long, b long, c long, least long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least"))
-    return counted.where("c >= least").select("a", "b")
+    kind = "a long, b long, c long, least long"
+    met = common.stored(dealt.mapInArrow(_meet(similarity), f"{kind}, hub long, lists binary"))
+    crowds = met.where("hub is not null").select("hub", "lists").repartition(parts, "hub").mapInArrow(_crowds(similarity), kind)
+    counted = met.where("hub is null").select(*_COUNTS).union(crowds).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least"))
+    out = common.cut(counted.where("c >= least").select("a", "b"))
+    common.discard(met)
+    return out

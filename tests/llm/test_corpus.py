@@ -9,6 +9,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -253,6 +254,45 @@ def test_candidates_lose_no_pair(spark, similarity):
     assert len(near) > 100 and got >= near
 
 
+def test_a_crowd_is_counted_in_few_rows(spark, monkeypatch):
+    """Long texts around one base, not all in one class: they share most keys, and a pair is not told once for each part of the keys."""
+    rng = random.Random(12)
+    base = words_text(rng, 400, 100_000).split()
+    texts = [list(base) for _ in range(60)]
+    for w in texts:
+        for k in rng.sample(range(400), 60):
+            w[k] = f"x{rng.randrange(10**9)}"
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "_th long, text string")
+    ranks = prefixes.frequencies(docs, order_minhash.plain, 0.8)
+    told = docs.mapInArrow(order_minhash._told(4, 0.8, ranks), "node long, n int, keys binary, buckets array<long>").withColumn("root", F.when(F.col("node") < 40, 0).otherwise(F.col("node")))
+    rows, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df: (rows.append(df), stored(df))[1])
+    got = {(r["a"], r["b"]) for r in prefixes.pairs(told, 0.8).collect()}
+    assert len(got) > 500
+    met = rows[0].where("hub is null").count()
+    crowds = rows[0].where("hub is not null").select("hub", "lists").repartition(4, "hub").mapInArrow(prefixes._crowds(0.8), "a long, b long, c long, least long").count()
+    assert met + crowds < 1.5 * len(got), (met, crowds, len(got))
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_signs_turn_away_no_similar_pair(spark, similarity):
+    rng = random.Random(13)
+    texts = []
+    for n in [*range(1, 30), 63, 64, 65, 127, 129, 300]:
+        base = words_text(rng, n, 1000).split()
+        other = list(base)
+        for _ in range(math.floor(n * (1 - similarity) + 1e-9)):
+            i = rng.randrange(len(other) + 1)
+            other[i : i + rng.randrange(2)] = [f"x{rng.randrange(10**6)}"] * rng.randrange(2)
+        texts += [base, other or base]
+    [(t, _)] = list(wordtape.tapes(order_minhash.plain(pa.array([" ".join(w) for w in texts]))))
+    signed = spark.createDataFrame([(i, len(w), x) for i, (w, x) in enumerate(zip(texts, prefixes.signs(t), strict=True))], "node long, n int, signs binary")
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    got = {(r["a"], r["b"]) for r in prefixes.likely(spark.createDataFrame(pairs, "a long, b long"), signed, similarity).collect()}
+    near = {(a, b) for a, b in pairs if distance(texts[a], texts[b]) <= (1 - similarity) * max(len(texts[a]), len(texts[b])) + 1e-9}
+    assert len(near) >= 30 and got >= near and len(got) < len(pairs) // 2
+
+
 def test_order_counts(spark):
     """The same shingles in another order are not a near-duplicate."""
     rng = random.Random(2)
