@@ -452,6 +452,28 @@ def test_hot_buckets_are_compared_whole(spark, monkeypatch):
     assert len(set(root.values())) == 40
 
 
+def test_buckets_in_parts_give_the_same_classes(spark, monkeypatch):
+    """Each part of the buckets is let go of before the next one is dealt, hot buckets too, and no pair is lost between parts."""
+    rng = random.Random(17)
+    stem, rows = [f"s{k}" for k in range(10)], []
+    for k in range(40):
+        own, base = [f"o{rng.randrange(10**6)}" for _ in range(6)], words_text(rng, 15 + k, 60).split()
+        other = [f"x{rng.randrange(10**6)}" if i % 5 == 2 else w for i, w in enumerate(base)]
+        for w in (stem + own, [*stem, *own[:3], *[f"o{rng.randrange(10**6)}" for _ in range(3)]], base, other):
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, DOC)
+    at = line_dedup.lines(docs)
+    whole = {r["node"]: r["root"] for r in line_dedup.classes(at, docs).collect()}
+    monkeypatch.setattr(line_dedup, "PART", 100)
+    monkeypatch.setattr(line_dedup, "CROWD", 20)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 10**9)
+    alive, most, stored, discard = set(), [], common.stored, common.discard
+    monkeypatch.setattr(common, "stored", lambda df: (lambda out: (alive.add((out.stored_at, *out.columns)), most.append(sum("major" in x for x in alive)), out)[2])(stored(df)))
+    monkeypatch.setattr(common, "discard", lambda df: (alive.discard((df.stored_at, *df.columns)), discard(df))[1])
+    assert {r["node"]: r["root"] for r in line_dedup.classes(at, docs).collect()} == whole
+    assert most[-1] <= 2 < max(most) <= line_dedup.PARTS + 1 and not any("bucket" in x for x in alive)
+
+
 def test_short_lines_repeat_exactly(spark):
     rows = [(1, "All rights reserved.\n你好世界。\n---\n\n yes no"), (2, "all rights reserved\n你好世界。\n---\n\nyes no!"), (3, "all rights\n\n****\n")]
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOC), short=True).collect()}
