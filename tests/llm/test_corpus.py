@@ -474,6 +474,46 @@ def test_buckets_in_parts_give_the_same_classes(spark, monkeypatch):
     assert most[-1] <= 2 < max(most) <= line_dedup.PARTS + 1 and not any("bucket" in x for x in alive)
 
 
+def shared_rows(spark, monkeypatch, rows):
+    """How many rows of buckets are left to work on, and the classes."""
+    docs, counts, members = spark.createDataFrame(rows, DOC), [], line_dedup._members
+    monkeypatch.setattr(line_dedup, "_members", lambda *a: (lambda out: (counts.append(out.count()), out)[1])(members(*a)))
+    roots = line_dedup.classes(line_dedup.lines(docs), docs).collect()
+    monkeypatch.setattr(line_dedup, "_members", members)
+    return sum(counts), {r["node"]: r["root"] for r in roots}
+
+
+def test_unrelated_lines_share_few_buckets(spark, monkeypatch):
+    """Pairs of frequent words meet by chance, the more the larger the table; what is dealt on must not grow with that."""
+    rng = random.Random(41)
+    n, roots = shared_rows(spark, monkeypatch, [(k, words_text(rng, 20, 300)) for k in range(1600)])
+    assert n <= 160 and roots == {}
+
+
+def test_lines_of_other_lengths_leave_a_bucket(spark, monkeypatch):
+    """One passage in lines of 12, 40, 140 and 480 words, of which none can be similar to another; then one more that is."""
+    rng = random.Random(43)
+    passage = words_text(rng, 12, 10**6)
+    rows = [(k, f"{passage} {words_text(rng, more, 10**6)}".strip()) for k, more in enumerate((0, 28, 128, 468))]
+    assert shared_rows(spark, monkeypatch, rows) == (0, {})
+    n, roots = shared_rows(spark, monkeypatch, [*rows, (9, f"{rows[1][1]} more"), (10, f"{passage} less")])
+    assert n > 0 and len(roots) == 4 and len(set(roots.values())) == 2
+
+
+def test_repeats_of_a_key_count_once_in_a_bucket(spark, monkeypatch):
+    """Places of one key, many or few, are one line to the search; a key with a share of all rows is cut down first."""
+    rng = random.Random(47)
+    base = [words_text(rng, 20, 10**6) for _ in range(4)]
+    rows = [(k, "\n".join([base[0], base[1] if k % 9 == 0 else words_text(rng, 20, 10**6)])) for k in range(60)]
+    assert shared_rows(spark, monkeypatch, rows) == (0, {})
+    rows += [(100, f"{base[0]} more"), (101, f"{base[1]} more")]
+    n, roots = shared_rows(spark, monkeypatch, rows)
+    assert len(roots) == 4 and len(set(roots.values())) == 2
+    monkeypatch.setattr(line_dedup, "CROWD", 20)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 10**9)
+    assert shared_rows(spark, monkeypatch, rows) == (n, roots)
+
+
 def test_short_lines_repeat_exactly(spark):
     rows = [(1, "All rights reserved.\n你好世界。\n---\n\n yes no"), (2, "all rights reserved\n你好世界。\n---\n\nyes no!"), (3, "all rights\n\n****\n")]
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOC), short=True).collect()}
